@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = "(?U)"  # Java: make \w \d \s \b follow Unicode, as the rules expect
 
@@ -56,7 +57,7 @@ def head(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -78,3 +79,9 @@ def char_bigrams(c: Column) -> Column:
 
 def join_lines(a: Column) -> Column:
     return F.array_join(a, "\n")
+
+
+def once(df, name: str, expr: Column):
+    """Add a column that is computed exactly once per row. A plain projection
+    is copied into every later filter that mentions it; a generator is not."""
+    return df.withColumn(name, F.explode(F.array(expr)))
