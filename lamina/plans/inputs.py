@@ -112,6 +112,12 @@ _add("web_log", "\nUNION ALL\n".join(
     f"SELECT vec_id AS query_id, {i} AS pos, CAST((vec_id * 7 + {i * i * 3}) % (SELECT count(*) FROM pages) AS BIGINT) AS page_id FROM embeddings"
     for i in range(5)))
 
+# text behind a vector
+_add("vec_docs", """
+SELECT e.vec_id AS id, e.embedding, d.source AS title, d.text FROM embeddings e
+JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)
+""")
+
 # page-view lines, as the hourly files hold them
 _add("view_lines", """
 SELECT event_id, ts, concat(CASE WHEN event_id % 17 = 0 THEN 'en' ELSE 'zh' END, ' ', event_type, '_', CAST(user_id AS STRING),
@@ -168,6 +174,53 @@ UNION ALL SELECT alias, qid, 0.6, 'alias', 3 FROM kg_raw_entities WHERE alias IS
 """, "kg_raw_entities")
 
 
+# N-Triples lines; ord is the line's place in the file
+_RDF = "concat('<http://www.wikidata.org/entity/Q', CAST({n} AS STRING), '> {p} ', {o}, ' .')"
+_LAB, _NAM = "<http://www.w3.org/2000/01/rdf-schema#label>", "<http://schema.org/name>"
+_ALT, _DES = "<http://www.w3.org/2004/02/skos/core#altLabel>", "<http://schema.org/description>"
+
+
+def _line(num: str, pred: str, obj: str) -> str:
+    return _RDF.format(n=num, p=pred, o=obj)
+
+
+def _direct(p: str) -> str:
+    return f"<http://www.wikidata.org/prop/direct/{p}>"
+
+
+def _ent(num: str) -> str:
+    return f"concat('<http://www.wikidata.org/entity/Q', CAST({num} AS STRING), '>')"
+
+
+_C, _N, _P = "(1000000000 + c_custkey)", "(100 + n_nationkey)", "(2000000000 + p_partkey)"
+_NT = [
+    ("customer", _C, 1, _line(_C, _LAB, "concat('\"', c_name, '\"@zh')")),
+    ("customer", _C, 2, _line(_C, _NAM, "concat('\"', c_name, ' later\"@zh-cn')")),
+    ("customer", _C, 3, _line(_C, _LAB, "concat('\"', lower(c_name), '\"@en')")),
+    ("customer", _C, 4, _line(_C, _ALT, "concat('\"', c_mktsegment, '\"@zh')")),
+    ("customer", _C, 5, _line(_C, _ALT, "concat('\"A', CAST(c_nationkey AS STRING), '\"@zh-tw')")),
+    ("customer", _C, 6, _line(_C, _DES, "concat('\"', chr(92), 'u5BA2', chr(92), 'u6237 of ', c_mktsegment, chr(92), 'U0001F600', '\"@zh')")),
+    ("customer", _C, 7, _line(_C, _direct("P27"), _ent("(100 + c_nationkey)"))),
+    ("customer", _C, 8, _line(_C, _direct("P1082"), "concat('\"', CAST(c_acctbal AS STRING), '\"^^<http://www.w3.org/2001/XMLSchema#decimal>')")),
+    ("customer", _C, 9, _line(_C, _direct("P9999"), "'\"x\"'")),
+    ("customer", _C, 10, "concat('broken line ', c_name)"),
+    ("nation", _N, 1, _line(_N, _NAM, "concat('\"', n_name, '\"@zh')")),
+    ("nation", _N, 2, _line(_N, _direct("P571"), "'\"1949-10-01T00:00:00Z\"^^<http://www.w3.org/2001/XMLSchema#dateTime>'")),
+    ("nation", _N, 3, _line(_N, _direct("P36"), _ent("(2000000000 + n_nationkey)"))),
+    ("nation", _N, 4, _line(_N, _direct("P138"), "concat('\"name\ttab ', n_name, '\"')")),
+    ("part", _P, 1, _line(_P, _LAB, "concat('\"', p_name, '\"@en')")),
+    ("part", _P, 2, _line(_P, _direct("P17"), _ent("(100 + p_size % 25)"))),
+]
+_add("nt_lines", "\nUNION ALL\n".join(
+    f"SELECT CAST({num} AS BIGINT) * 100 + {i} AS ord, {expr} AS line FROM {t}" for t, num, i, expr in _NT).replace("\t", "TAB"))
+
+# views per title: parts by ordered quantity; upper-case variants stand for the same title
+_add("titles", """
+SELECT CASE WHEN p_partkey % 7 = 0 THEN upper(p_name) ELSE p_name END AS title, p_brand AS variant, CAST(sum(l_quantity) AS BIGINT) AS views
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
+""")
+
+
 def chain(*names: str) -> list[str]:
     """The named inputs and whatever they need, dependencies first."""
     out: list[str] = []
