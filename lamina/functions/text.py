@@ -68,13 +68,19 @@ def nfkc(c: Column, ascii_only: bool = False) -> Column:
     return c if ascii_only else _nfkc(c)
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value for use inside a lambda, so that it is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_bigrams(c: Column) -> Column:
     """Distinct two-character windows of the text without whitespace."""
-    s = F.regexp_replace(c, U + r"\s+", "")
-    n = F.length(s)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, F.lit(2))))
-    )
+    def windows(s):
+        n = F.length(s)
+        return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, F.lit(2)))))
+
+    return let(F.regexp_replace(c, U + r"\s+", ""), windows)
 
 
 def join_lines(a: Column) -> Column:

@@ -8,6 +8,9 @@ order of a single writer.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from pyspark.sql import types as T
 from lamina import fixed as X
 from lamina.functions.text import U, any_of, has_any
 from lamina.operators.ranking import first_per_key, top_k
+from lamina.session import cut
 
 
 
@@ -28,10 +32,6 @@ def triple_order() -> list[Column]:
 def unescape(c: Column) -> Column:
     r"""Decode \uXXXX and \UXXXXXXXX in place; surrogates stay as written. Only
     rows that hold an escape go through Python."""
-    import re
-
-    import pandas as pd
-
     pat = re.compile(r"\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})")
 
     def one(m):
@@ -164,12 +164,12 @@ def is_meta(desc: Column) -> Column:
     return F.coalesce(has_any(desc, X.WIKI_META), F.lit(False))
 
 
-def link(wanted: DataFrame, mentions: DataFrame, entities: DataFrame, k: int = X.LINK_K, weak: int = X.WEAK_POP) -> DataFrame:
+def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.WEAK_POP) -> DataFrame:
     """Candidates per mention: exact names first; names found by prefix at half
-    weight when the exact ones are few or obscure; pages about pages go last."""
-    scored = scored_mentions(mentions, entities)
+    weight when the exact ones are few or obscure; pages about pages go last.
+    ``scored`` is the stored output of ``scored_mentions``."""
     cols = ["mention", "qid", "weight", "source", "label_zh", "description", "popularity", "score"]
-    ex = link_exact(wanted, scored, k)
+    ex = cut(link_exact(wanted, scored, k))  # k rows per asked name, read four times below
     stats = ex.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.max("popularity").alias("best"))
     need = wanted.distinct().join(stats, "mention", "left").where(
         (F.coalesce("n", F.lit(0)) < k) | (F.coalesce("best", F.lit(0)) < weak)).select("mention")

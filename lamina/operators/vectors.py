@@ -22,7 +22,7 @@ STEP = 512    # query rows multiplied at a time
 
 
 def _score_cell(k: int, exclude_same: bool, digits: int):
-    empty = pd.DataFrame({"query_id": pd.Series([], "int64"), "id": pd.Series([], "int64"), "score": pd.Series([], "float64")})
+    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
@@ -62,11 +62,11 @@ def cell_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_same: bool
     grid = size(queries, "nq").join(size(corpus, "nc"), "cell")
     q = (queries.join(grid, "cell")
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).cast("long"))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc").cast("long") - 1)))
          .select("cell", "qb", "cb", "query_id", "qv"))
     c = (corpus.join(grid, "cell")
          .withColumn("cb", F.pmod(F.xxhash64("id"), F.col("nc")))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).cast("long"))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq").cast("long") - 1)))
          .select("cell", "qb", "cb", "id", "cv"))
     part = (q.groupBy("cell", "qb", "cb").cogroup(c.groupBy("cell", "qb", "cb"))
             .applyInPandas(_score_cell(k, exclude_same, digits), "query_id long, id long, score double"))

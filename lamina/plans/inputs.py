@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.session import cut
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -114,8 +116,8 @@ _add("web_log", "\nUNION ALL\n".join(
 
 # text behind a vector
 _add("vec_docs", """
-SELECT e.vec_id AS id, e.embedding, d.source AS title, d.text FROM embeddings e
-JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)
+SELECT e.id, e.embedding, d.source AS title, d.text
+FROM (SELECT vec_id AS id, embedding, vec_id % (SELECT count(*) FROM documents) AS doc_id FROM embeddings) e JOIN documents d ON d.doc_id = e.doc_id
 """)
 
 # page-view lines, as the hourly files hold them
@@ -140,7 +142,7 @@ _add("kg_raw_entities", """
 SELECT concat('R', CAST(r_regionkey AS STRING)) AS qid, concat(r_name, '自治区') AS label_zh, r_name AS label_en,
   'large region 位于 earth' AS description, CAST(NULL AS STRING) AS alias FROM region
 UNION ALL SELECT concat('N', CAST(n_nationkey AS STRING)),
-  concat(n_name, CASE CAST(n_nationkey % 4 AS INT) WHEN 0 THEN '省' WHEN 1 THEN '市' WHEN 2 THEN '' ELSE '县' END), n_name,
+  concat(n_name, CASE CAST(n_nationkey % 4 AS INT) WHEN 0 THEN '省' WHEN 1 THEN '市' WHEN 2 THEN '' ELSE '县' END), concat('country ', n_name),
   concat('nation with orders, price and exports of ', n_name), CASE WHEN n_nationkey % 5 = 0 THEN n_name END FROM nation
 UNION ALL SELECT concat('C', CAST(c_custkey AS STRING)), c_name, c_name, concat(c_mktsegment, ' customer order account'), c_mktsegment FROM customer
 UNION ALL SELECT concat('S', CAST(s_suppkey AS STRING)), s_name, s_name, 'supplier of parts', CAST(NULL AS STRING) FROM supplier
@@ -168,7 +170,7 @@ UNION ALL SELECT concat('O', CAST(o_orderkey AS STRING)), 'P2284', CAST(NULL AS
 UNION ALL SELECT concat('O', CAST(l_orderkey AS STRING)), 'P527', concat('P', CAST(l_partkey AS STRING)), CAST(NULL AS STRING), 'entity' FROM lineitem
 """)
 _add("kg_mention_rows", """
-SELECT label_zh AS mention, qid, 1.0 AS weight, 'label' AS source, 1 AS prio FROM kg_raw_entities WHERE label_zh IS NOT NULL
+SELECT label_zh AS mention, qid, CAST(1.0 AS DOUBLE) AS weight, 'label' AS source, 1 AS prio FROM kg_raw_entities WHERE label_zh IS NOT NULL
 UNION ALL SELECT label_en, qid, 0.8, 'label', 2 FROM kg_raw_entities WHERE label_en IS NOT NULL
 UNION ALL SELECT alias, qid, 0.6, 'alias', 3 FROM kg_raw_entities WHERE alias IS NOT NULL
 """, "kg_raw_entities")
@@ -212,12 +214,13 @@ _NT = [
     ("part", _P, 2, _line(_P, _direct("P17"), _ent("(100 + p_size % 25)"))),
 ]
 _add("nt_lines", "\nUNION ALL\n".join(
-    f"SELECT CAST({num} AS BIGINT) * 100 + {i} AS ord, {expr} AS line FROM {t}" for t, num, i, expr in _NT).replace("\t", "TAB"))
+    f"SELECT CAST({num} AS BIGINT) * 100 + {i} AS ord, {expr} AS line FROM {t}" for t, num, i, expr in _NT))
 
-# views per title: parts by ordered quantity; upper-case variants stand for the same title
+# views per title: parts by ordered quantity, customers by orders; upper-case variants stand for the same title
 _add("titles", """
-SELECT CASE WHEN p_partkey % 7 = 0 THEN upper(p_name) ELSE p_name END AS title, p_brand AS variant, CAST(sum(l_quantity) AS BIGINT) AS views
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
+SELECT CASE WHEN p_partkey % 7 = 0 THEN upper(concat(p_name, ' ', p_brand)) ELSE concat(p_name, ' ', p_brand) END AS title, CAST(sum(l_quantity) AS BIGINT) AS views
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+UNION ALL SELECT c_name, count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name
 """)
 
 
@@ -247,6 +250,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table the offline build stores once: written to the checkpoint folder
+    on first use in an application and read from there afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = cut(make())
+    return _BUILT[key]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input (or a given table) as a DataFrame."""
     if name in TABLES:
