@@ -86,12 +86,17 @@ FROM documents
 
 # archive: what a finished turn hands to the caches; question of order doc_id, answer of document doc_id
 _add("turns", """
-SELECT a.doc_id AS turn_id, q.query, a.answer, a.source, a.lang, q.nation, q.cust,
+SELECT a.doc_id AS turn_id, q.query, a.answer, a.source, a.lang, q.nation, q.cust, CAST(1704067200 + a.doc_id * 60 AS BIGINT) AS write_ts,
   CASE CAST(a.doc_id % 3 AS INT) WHEN 0 THEN concat('u:', CAST(q.user_id AS STRING)) WHEN 1 THEN concat('s:', a.source) ELSE NULL END AS namespace,
   CASE WHEN a.doc_id % 5 = 0 THEN 3 ELSE 0 END AS web_hits, a.doc_id % 13 = 0 AS forced
 FROM answers a JOIN questions q ON q.query_id = a.doc_id
 """, "answers", "questions")
 
+# articles: each document carries the title of the part with its number
+_add("articles", """
+SELECT d.doc_id, d.text, concat(p.p_name, ' ', p.p_brand) AS title FROM documents d JOIN part p ON p.p_partkey = d.doc_id
+""")
+
 # conversation pairs: a user message and the assistant message right after it
 _add("pairs", """
 SELECT u.conv_id, u.turn, u.text AS query, a.text AS answer,
