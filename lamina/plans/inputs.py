@@ -8,6 +8,8 @@ graph, vectors and search results. All of them cover their whole tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.session import cut
@@ -251,8 +253,16 @@ def with_clause(*names: str, extra: str = "") -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
+_HANDLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Only the handle is kept, so that its footer is read once
+    per application; the data is scanned by every query that uses it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HANDLES:
+        _HANDLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _HANDLES[key]
 
 
 _BUILT: dict[tuple, DataFrame] = {}
@@ -271,7 +281,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input (or a given table) as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
+    text = " ".join(SQL[n] for n in chain(name))
     for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+        if re.search(rf"\b{t}\b", text):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
     parts = ",\n".join(f"{n} AS ({SQL[n]})" for n in chain(name))
     return spark.sql(f"WITH {parts} SELECT * FROM {name}")
