@@ -71,7 +71,7 @@ def _descend(a, b, ga, gb, n):
     return max(a - X.FIT["lr"] * ga / n, X.FIT["min_a"]), b - X.FIT["lr"] * gb / n
 
 
-def fit_platt(samples: DataFrame, key: str = "layer") -> DataFrame:
+def fit_platt(samples: DataFrame, key: str = "layer", epochs: int = X.FIT["epochs"]) -> DataFrame:
     """Full-batch gradient descent per key over (key, score, label).
 
     Equal samples are folded to one weighted cell first. Keys whose cells fit
@@ -87,20 +87,20 @@ def fit_platt(samples: DataFrame, key: str = "layer") -> DataFrame:
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             s, y, w = (pdf[c].to_numpy(float) for c in ("s", "y", "w"))
             a, b, n = X.FIT["init_a"], X.FIT["init_b"], w.sum()
-            for _ in range(X.FIT["epochs"]):
+            for _ in range(epochs):
                 d = (1.0 / (1.0 + np.exp(-np.clip(a * (s - b), -60, 60))) - y) * w
                 a, b = _descend(a, b, (d * (s - b)).sum(), (d * -a).sum(), n)
             return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [round(a, 4)], "b": [round(b, 4)], "n": [int(n)]})
 
         return cells.groupBy(key).applyInPandas(fit, schema)
-    return _fit_by_epoch(cells, key, schema)
+    return _fit_by_epoch(cells, key, schema, epochs)
 
 
-def _fit_by_epoch(cells: DataFrame, key: str, schema: str) -> DataFrame:
+def _fit_by_epoch(cells: DataFrame, key: str, schema: str, epochs: int) -> DataFrame:
     """One row of parameters per key travels; the cells stay where they are."""
     spark = cells.sparkSession
     par = {r[key]: (X.FIT["init_a"], X.FIT["init_b"], r["n"]) for r in cells.groupBy(key).agg(F.sum("w").alias("n")).collect()}
-    for _ in range(X.FIT["epochs"]):
+    for _ in range(epochs):
         p = spark.createDataFrame([(k, a, b) for k, (a, b, _) in par.items()], f"{key} {dict(cells.dtypes)[key]}, a double, b double")
         g = cells.join(F.broadcast(p), key).withColumn("d", (sigmoid(F.col("a") * (F.col("s") - F.col("b"))) - F.col("y")) * F.col("w"))
         sums = g.groupBy(key).agg(F.sum(F.col("d") * (F.col("s") - F.col("b"))).alias("ga"), F.sum(-F.col("d") * F.col("a")).alias("gb"))

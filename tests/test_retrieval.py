@@ -4,7 +4,6 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lamina import fixed as X
 from lamina.operators import calibration as P
 from lamina.operators import diversify as D
 from lamina.operators import fusion as U
@@ -89,10 +88,9 @@ def test_noisy_or_points(spark):
 def test_fit_is_the_same_in_one_task_and_by_epoch(spark, monkeypatch):
     syn = [("x", s, y) for s, y in ((0.3, 0), (0.4, 0), (0.5, 0), (0.6, 1), (0.7, 1), (0.8, 1)) for _ in range(20)]
     d = spark.createDataFrame(syn, "layer string, score double, label int")
-    monkeypatch.setitem(X.FIT, "epochs", 20)
-    one = P.fit_platt(d).collect()
+    one = P.fit_platt(d, epochs=20).collect()
     monkeypatch.setattr(P, "ONE_TASK_CELLS", 0)
-    assert P.fit_platt(d).collect() == one
+    assert P.fit_platt(d, epochs=20).collect() == one
 
 
 def test_near_dup_and_mmr_against_loops(spark):
