@@ -40,9 +40,14 @@ def present(c: Column, words) -> Column:
     return F.filter(strs(words), lambda w: F.contains(c, w))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value for use inside a lambda, so that it is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def longest_only(a: Column) -> Column:
     """Drop words contained in another, longer word of the same array."""
-    return F.filter(a, lambda t: ~F.exists(a, lambda o: (o != t) & F.contains(o, t)))
+    return let(a, lambda ws: F.filter(ws, lambda t: ~F.exists(ws, lambda o: (o != t) & F.contains(o, t))))
 
 
 def sorted_set(a: Column) -> Column:
@@ -68,11 +73,6 @@ def nfkc(c: Column, ascii_only: bool = False) -> Column:
     return c if ascii_only else _nfkc(c)
 
 
-def let(value: Column, body) -> Column:
-    """Bind a value for use inside a lambda, so that it is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def char_bigrams(c: Column) -> Column:
     """Distinct two-character windows of the text without whitespace."""
     def windows(s):

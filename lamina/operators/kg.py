@@ -130,10 +130,10 @@ def exact_order() -> list[Column]:
 
 
 def link_exact(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K) -> DataFrame:
-    """``wanted`` (mention), distinct. A mention keeps its k best before it
-    meets the question side, so a name shared by millions stays k rows."""
-    best = top_k(scored, ["mention"], exact_order(), k, rank="pos")
-    return best.join(wanted.distinct(), "mention", "left_semi")
+    """``wanted`` (mention). The semi join only drops rows, and a name shared by
+    millions is cut to k rows on the map side."""
+    asked = scored.join(wanted.distinct(), "mention", "left_semi")
+    return top_k(asked, ["mention"], exact_order(), k, rank="pos")
 
 
 def tokens(c: Column) -> Column:
@@ -152,8 +152,13 @@ def link_fuzzy(wanted: DataFrame, scored: DataFrame, k: int = X.FUZZY_K) -> Data
     toks = tokens(F.col("mention"))
     starts = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.array_join(F.slice(toks, i, F.size(toks)), " "))
     rows = scored.where(F.size(toks) > 0).select("*", F.explode(starts).alias("rest"))
+    lens = q.agg(F.collect_set(F.length("prefix")).alias("lens"))  # one row, as many numbers as the longest phrase has letters
+    # most names share no beginning with anything asked for and leave before they are expanded
+    head = lambda c: F.substring(F.col(c), F.lit(1), F.array_min("lens"))
+    heads = q.join(F.broadcast(lens)).select(head("prefix").alias("head")).distinct()
+    rows = rows.join(F.broadcast(lens)).withColumn("head", head("rest")).join(heads, "head", "left_semi").drop("head")
     rows = rows.withColumn("prefix", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("rest")), lambda n: F.substring(F.col("rest"), F.lit(1), n)))).drop("rest")
+        F.filter("lens", lambda n: n <= F.length("rest")), lambda n: F.substring(F.col("rest"), F.lit(1), n)))).drop("rest", "lens")
     rows = rows.join(q.select("prefix").distinct(), "prefix", "left_semi")
     rows = first_per_key(rows.withColumnRenamed("mention", "name"), ["prefix", "name", "qid"], ["score"])
     best = top_k(rows, ["prefix"], [F.desc("score"), F.asc("qid"), F.asc("name")], k, rank="fpos")
@@ -330,16 +335,15 @@ def bfs_capped(seeds: DataFrame, triples: DataFrame, entities: DataFrame, max_ho
             start = F.struct(acc["seen"].alias("seen"), acc["got"].alias("got"), F.lit(0).alias("n"))
 
             def fact(a, f):
-                go = (a["n"] < expand) & ~F.array_contains(a["seen"], f["o"])
-                add = go & f["known"]
-                return F.struct(
-                    F.when(go, F.array_append(a["seen"], f["o"])).otherwise(a["seen"]).alias("seen"),
-                    F.when(add, F.array_append(a["got"], F.struct(f["o"].alias("qid"), nd["qid"].alias("via"), f["p"].alias("p"))))
+                stay = (a["n"] >= expand) | F.array_contains(a["seen"], f["o"])
+                took = F.struct(
+                    F.array_append(a["seen"], f["o"]).alias("seen"),
+                    F.when(f["known"], F.array_append(a["got"], F.struct(f["o"].alias("qid"), nd["qid"].alias("via"), f["p"].alias("p"))))
                     .otherwise(a["got"]).alias("got"),
-                    (a["n"] + add.cast("int")).alias("n"))
+                    (a["n"] + f["known"].cast("int")).alias("n"))
+                return F.when(stay, a).otherwise(took)
 
-            r = F.aggregate(nd["facts"], start, fact)
-            return F.struct(r["seen"].alias("seen"), r["got"].alias("got"))
+            return F.aggregate(nd["facts"], start, fact, lambda r: F.struct(r["seen"].alias("seen"), r["got"].alias("got")))
 
         res = cur.select("query_id", F.aggregate("nodes", zero, node).alias("r"))
         found = res.select("query_id", F.posexplode("r.got").alias("pos", "g")).select(

@@ -254,6 +254,15 @@ def with_clause(*names: str, extra: str = "") -> str:
 
 
 _HANDLES: dict[tuple, DataFrame] = {}
+TEXT_TABLES = ("orders", "documents", "conversations", "pages")  # rows that feed per-row text work
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Text rules cost far more per byte than the scan. A table that arrives in
+    fewer splits than there are cores is dealt out first; one with enough
+    splits, as any large table has, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -261,7 +270,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     per application; the data is scanned by every query that uses it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _HANDLES:
-        _HANDLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _HANDLES[key] = spread(df) if name in TEXT_TABLES else df
     return _HANDLES[key]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamina import fixed as X
 from lamina.functions import slots as S
 from lamina.operators import admission as A
-from lamina.functions.text import any_of
+from lamina.functions.text import any_of, once
 from lamina.plans.inputs import load, with_clause
 from lamina.plans.registry import arr, lit, query, tup
 
@@ -280,5 +280,5 @@ def purge_stale(spark, sf):
 @query("clean_refusals", with_clause("answers") + f"""
 SELECT doc_id, CAST(length(answer) AS BIGINT) AS len FROM answers WHERE NOT ({sql_low('answer')} OR {sql_partial('answer')})""")
 def clean_refusals(spark, sf):
-    d = load(spark, sf, "answers")
-    return d.where(A.refusal_kind(F.col("answer")).isNull()).select("doc_id", F.length("answer").cast("long").alias("len"))
+    d = once(load(spark, sf, "answers").select("doc_id", "answer"), "kind", A.refusal_kind(F.col("answer")))
+    return d.where(F.col("kind").isNull()).select("doc_id", F.length("answer").cast("long").alias("len"))
