@@ -395,35 +395,44 @@ PAPER_OPERATORS = ("ANDNOT", "AND", "OR", "NOT")
 PAPER_STOPWORDS = ("a", "an", "the", "of", "for", "on", "in", "to", "and", "or", "with",
                    "via", "using", "based", "from", "by", "at", "is", "are", "be")
 CITY_ZONES = {
-    "shanghai": "Asia/Shanghai", "singapore": "Asia/Singapore",
-    "las vegas": "America/Los_Angeles", "los angeles": "America/Los_Angeles",
-    "san francisco": "America/Los_Angeles", "seattle": "America/Los_Angeles",
-    "new york": "America/New_York", "washington": "America/New_York",
-    "chicago": "America/Chicago", "dallas": "America/Chicago", "denver": "America/Denver",
-    "phoenix": "America/Phoenix", "hawaii": "Pacific/Honolulu", "london": "Europe/London",
-    "paris": "Europe/Paris", "berlin": "Europe/Berlin", "rome": "Europe/Rome",
-    "madrid": "Europe/Madrid", "moscow": "Europe/Moscow", "budapest": "Europe/Budapest",
-    "bucharest": "Europe/Bucharest", "amsterdam": "Europe/Amsterdam", "zurich": "Europe/Zurich",
-    "stockholm": "Europe/Stockholm", "kyiv": "Europe/Kyiv", "athens": "Europe/Athens",
-    "lisbon": "Europe/Lisbon", "dublin": "Europe/Dublin", "tokyo": "Asia/Tokyo",
-    "seoul": "Asia/Seoul", "bangkok": "Asia/Bangkok", "dubai": "Asia/Dubai",
-    "delhi": "Asia/Kolkata", "mumbai": "Asia/Kolkata", "jakarta": "Asia/Jakarta",
-    "kuala lumpur": "Asia/Kuala_Lumpur", "manila": "Asia/Manila", "istanbul": "Europe/Istanbul",
-    "tel aviv": "Asia/Jerusalem", "riyadh": "Asia/Riyadh", "cairo": "Africa/Cairo",
-    "johannesburg": "Africa/Johannesburg", "nairobi": "Africa/Nairobi", "lagos": "Africa/Lagos",
-    "toronto": "America/Toronto", "vancouver": "America/Vancouver",
-    "mexico city": "America/Mexico_City", "sao paulo": "America/Sao_Paulo",
-    "buenos aires": "America/Argentina/Buenos_Aires", "sydney": "Australia/Sydney",
-    "melbourne": "Australia/Melbourne", "auckland": "Pacific/Auckland", "utc": "UTC",
-    "中国": "Asia/Shanghai", "北京时间": "Asia/Shanghai", "北京": "Asia/Shanghai",
-    "上海": "Asia/Shanghai", "广州": "Asia/Shanghai", "深圳": "Asia/Shanghai",
-    "杭州": "Asia/Shanghai", "香港": "Asia/Hong_Kong", "澳门": "Asia/Macau",
-    "台北": "Asia/Taipei", "台湾": "Asia/Taipei", "新加坡": "Asia/Singapore",
-    "纽约": "America/New_York", "伦敦": "Europe/London", "巴黎": "Europe/Paris",
-    "柏林": "Europe/Berlin", "莫斯科": "Europe/Moscow", "东京": "Asia/Tokyo",
-    "日本": "Asia/Tokyo", "首尔": "Asia/Seoul", "韩国": "Asia/Seoul",
-    "曼谷": "Asia/Bangkok", "迪拜": "Asia/Dubai", "开罗": "Africa/Cairo",
-    "悉尼": "Australia/Sydney", "多伦多": "America/Toronto",
+    "中国": "Asia/Shanghai", "北京时间": "Asia/Shanghai", "北京": "Asia/Shanghai", "上海": "Asia/Shanghai",
+    "广州": "Asia/Shanghai", "深圳": "Asia/Shanghai", "杭州": "Asia/Shanghai", "香港": "Asia/Hong_Kong",
+    "澳门": "Asia/Macau", "台北": "Asia/Taipei", "台湾": "Asia/Taipei", "singapore": "Asia/Singapore",
+    "新加坡": "Asia/Singapore", "拉斯维加斯": "America/Los_Angeles", "las vegas": "America/Los_Angeles",
+    "vegas": "America/Los_Angeles", "洛杉矶": "America/Los_Angeles", "los angeles": "America/Los_Angeles",
+    "旧金山": "America/Los_Angeles", "san francisco": "America/Los_Angeles", "西雅图": "America/Los_Angeles",
+    "seattle": "America/Los_Angeles", "纽约": "America/New_York", "new york": "America/New_York",
+    "华盛顿": "America/New_York", "washington": "America/New_York", "芝加哥": "America/Chicago",
+    "chicago": "America/Chicago", "达拉斯": "America/Chicago", "dallas": "America/Chicago",
+    "丹佛": "America/Denver", "denver": "America/Denver", "凤凰城": "America/Phoenix", "phoenix": "America/Phoenix",
+    "阿拉斯加": "America/Anchorage", "夏威夷": "Pacific/Honolulu", "hawaii": "Pacific/Honolulu",
+    "伦敦": "Europe/London", "london": "Europe/London", "巴黎": "Europe/Paris", "paris": "Europe/Paris",
+    "柏林": "Europe/Berlin", "berlin": "Europe/Berlin", "罗马": "Europe/Rome", "rome": "Europe/Rome",
+    "马德里": "Europe/Madrid", "madrid": "Europe/Madrid", "莫斯科": "Europe/Moscow", "moscow": "Europe/Moscow",
+    "布达佩斯": "Europe/Budapest", "budapest": "Europe/Budapest", "布加勒斯特": "Europe/Bucharest",
+    "bucharest": "Europe/Bucharest", "阿姆斯特丹": "Europe/Amsterdam", "amsterdam": "Europe/Amsterdam",
+    "苏黎世": "Europe/Zurich", "zurich": "Europe/Zurich", "斯德哥尔摩": "Europe/Stockholm",
+    "stockholm": "Europe/Stockholm", "岳父": "Europe/Kyiv", "kyiv": "Europe/Kyiv", "雅典": "Europe/Athens",
+    "athens": "Europe/Athens", "里斯本": "Europe/Lisbon", "lisbon": "Europe/Lisbon", "都柏林": "Europe/Dublin",
+    "dublin": "Europe/Dublin", "东京": "Asia/Tokyo", "tokyo": "Asia/Tokyo", "日本": "Asia/Tokyo",
+    "首尔": "Asia/Seoul", "seoul": "Asia/Seoul", "韩国": "Asia/Seoul", "曼谷": "Asia/Bangkok",
+    "bangkok": "Asia/Bangkok", "迪拜": "Asia/Dubai", "dubai": "Asia/Dubai", "印度": "Asia/Kolkata",
+    "新德里": "Asia/Kolkata", "delhi": "Asia/Kolkata", "孟买": "Asia/Kolkata", "mumbai": "Asia/Kolkata",
+    "雅加达": "Asia/Jakarta", "jakarta": "Asia/Jakarta", "吉隆坡": "Asia/Kuala_Lumpur",
+    "kuala lumpur": "Asia/Kuala_Lumpur", "马尼拉": "Asia/Manila", "manila": "Asia/Manila",
+    "河内": "Asia/Ho_Chi_Minh", "胡志明市": "Asia/Ho_Chi_Minh", "伊斯坦布尔": "Europe/Istanbul",
+    "istanbul": "Europe/Istanbul", "特拉维夫": "Asia/Jerusalem", "tel aviv": "Asia/Jerusalem",
+    "耶路撒冷": "Asia/Jerusalem", "利雅得": "Asia/Riyadh", "riyadh": "Asia/Riyadh", "开罗": "Africa/Cairo",
+    "cairo": "Africa/Cairo", "约翰内斯堡": "Africa/Johannesburg", "johannesburg": "Africa/Johannesburg",
+    "内罗毕": "Africa/Nairobi", "nairobi": "Africa/Nairobi", "拉各斯": "Africa/Lagos", "lagos": "Africa/Lagos",
+    "多伦多": "America/Toronto", "toronto": "America/Toronto", "温哥华": "America/Vancouver",
+    "vancouver": "America/Vancouver", "墨西哥城": "America/Mexico_City", "mexico city": "America/Mexico_City",
+    "圣保罗": "America/Sao_Paulo", "sao paulo": "America/Sao_Paulo", "巴西": "America/Sao_Paulo",
+    "布宜诺斯艾利斯": "America/Argentina/Buenos_Aires", "buenos aires": "America/Argentina/Buenos_Aires",
+    "悉尼": "Australia/Sydney", "sydney": "Australia/Sydney", "墨尔本": "Australia/Melbourne",
+    "melbourne": "Australia/Melbourne", "奥克兰": "Pacific/Auckland", "auckland": "Pacific/Auckland",
+    "utc": "UTC", "gmt": "Etc/GMT", "pst": "America/Los_Angeles", "pdt": "America/Los_Angeles",
+    "est": "America/New_York", "edt": "America/New_York", "cst": "America/Chicago", "cdt": "America/Chicago",
 }
 MAX_SESSIONS, MAX_TURNS, RECENT_TURNS = 512, 8, 3
 WORKER_FLUSH_ROWS, WORKER_FLUSH_S = 32, 5

@@ -50,6 +50,12 @@ def fixed_and_broken(trace: DataFrame, baseline: str) -> DataFrame:
     return j.where(F.col("ok") != F.col("base_ok")).select("cid", "arm", F.when(F.col("ok"), "fixed").otherwise("broke").alias("change"))
 
 
+def failed_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``case_id`` that stopped failing (gone) or started to (new)."""
+    return before.subtract(after).withColumn("change", F.lit("gone")).unionByName(
+        after.subtract(before).withColumn("change", F.lit("new")))
+
+
 def progress_counts(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """Counts of test progress characters in ``....F [ 12%]`` lines."""
     chars = F.regexp_extract(line, r"^([.FEsxX]+)\s+\[\s*\d+%\]", 1)

@@ -8,6 +8,7 @@ from lamina import fixed as X
 from lamina.operators import corpus as C
 from lamina.operators import kg as K
 from lamina.operators import linking as L
+from lamina.operators.ranking import ranked
 from lamina.functions.vectors import doubles
 from lamina.plans.inputs import built, load, with_clause
 from lamina.plans.registry import arr, lit, query, tup
@@ -174,7 +175,8 @@ SELECT qid, concat(label_zh, ' —— ', description) AS text FROM ents WHERE ar
 ORDER BY article_rank, qid LIMIT 300000""")
 def hot_entities(spark, sf):
     e = entities(spark, sf).where(F.col("article_rank").isNotNull() & F.col("label_zh").isNotNull())
-    return e.orderBy("article_rank", "qid").limit(300_000).select("qid", F.concat("label_zh", F.lit(" —— "), "description").alias("text"))
+    r = ranked(e, [F.asc("article_rank"), F.asc("qid")], "pos")  # the limit is large, so no single task sorts it
+    return r.where(F.col("pos") <= 300_000).select("qid", F.concat("label_zh", F.lit(" —— "), "description").alias("text"))
 
 
 @query("dirty_escape_count", sql("", "nt_lines") + r"""

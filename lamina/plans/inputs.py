@@ -157,9 +157,9 @@ UNION ALL SELECT concat('P', CAST(p_partkey AS STRING)), p_name, p_name,
   CASE WHEN p_partkey % 9 = 0 THEN 'Wikimedia disambiguation page' ELSE concat(p_type, ' part of size ', CAST(p_size AS STRING)) END, p_brand FROM part
 UNION ALL SELECT DISTINCT concat('T', c_mktsegment), c_mktsegment, lower(c_mktsegment), 'market segment', CAST(NULL AS STRING) FROM customer
 UNION ALL SELECT DISTINCT concat('K', p_brand), p_brand, p_brand, 'brand of parts', CAST(NULL AS STRING) FROM part
-UNION ALL SELECT 'Tcountry', '国家', 'country', 'kind of place', CAST(NULL AS STRING) FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 'Tlist', '国家列表', 'list of countries', 'Wikimedia list', CAST(NULL AS STRING) FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 'Q5', '人', 'human', 'person', CAST(NULL AS STRING) FROM region WHERE r_regionkey = 0
+UNION ALL SELECT DISTINCT 'Tcountry', '国家', 'country', 'kind of place', CAST(NULL AS STRING) FROM region
+UNION ALL SELECT DISTINCT 'Tlist', '国家列表', 'list of countries', 'Wikimedia list', CAST(NULL AS STRING) FROM region
+UNION ALL SELECT DISTINCT 'Q5', '人', 'human', 'person', CAST(NULL AS STRING) FROM region
 UNION ALL SELECT concat('O', CAST(o_orderkey AS STRING)), concat('Order#', CAST(o_orderkey AS STRING)), concat('order ', CAST(o_orderkey AS STRING)), o_orderpriority, CAST(NULL AS STRING) FROM orders
 """)
 _add("kg_triples", """

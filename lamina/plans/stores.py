@@ -274,13 +274,13 @@ def eval_fixed_broke(spark, sf):
     return RP.fixed_and_broken(load(spark, sf, "trace"), "view")
 
 
-@query("regression_diff", """WITH f AS (SELECT DISTINCT user_id % 50 AS case_id, event_type AS run FROM events WHERE event_id % 30 = 0)
+@query("regression_diff", """WITH f AS (SELECT DISTINCT user_id * 100 + CAST(day(ts) AS BIGINT) AS case_id, event_type AS run FROM events WHERE value > 60)
 SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN a.case_id IS NULL THEN 'new' ELSE 'gone' END AS change FROM (SELECT case_id FROM f WHERE run = 'view') a
 FULL JOIN (SELECT case_id FROM f WHERE run = 'click') b ON a.case_id = b.case_id WHERE a.case_id IS NULL OR b.case_id IS NULL""")
 def regression_diff(spark, sf):
-    f = load(spark, sf, "events").where(F.col("event_id") % 30 == 0).select((F.col("user_id") % 50).alias("case_id"), F.col("event_type").alias("run")).distinct()
-    a, b = f.where("run = 'view'").select("case_id"), f.where("run = 'click'").select("case_id")
-    return a.subtract(b).withColumn("change", F.lit("gone")).unionByName(b.subtract(a).withColumn("change", F.lit("new")))
+    """Cases that fail (a value above 60) in one run and not in the other."""
+    f = load(spark, sf, "events").where(F.col("value") > 60).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("case_id"), F.col("event_type").alias("run"))
+    return RP.failed_diff(f.where("run = 'view'").select("case_id"), f.where("run = 'click'").select("case_id"))
 
 
 RUNS = """rl AS (SELECT user_id, CASE WHEN event_id % 9 = 0 THEN concat('collected ', event_type) ELSE concat(repeat('.', CAST(event_id % 6 AS INT)), CASE WHEN event_id % 4 = 0 THEN 'F' WHEN event_id % 5 = 0 THEN 'Es' ELSE '.x' END, ' [ ', CAST(event_id % 100 AS STRING), '%]') END AS line FROM events)"""
