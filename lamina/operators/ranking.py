@@ -36,11 +36,9 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank", keys: list[st
     """Number every row by ``order`` (inside ``keys`` when given) without a
     single-partition window. ``order`` must be total for a stable answer."""
     keys = keys or []
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(k) for k in keys] + order
     local = (
-        df.repartitionByRange(parts, *cols)
+        df.repartitionByRange(*cols)  # no fixed number: AQE may merge neighbouring ranges, which keeps their order
         .sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
