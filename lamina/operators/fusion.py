@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lamina import fixed as X
 from lamina.operators.ranking import top_k
+from lamina.session import cut
 
 
 def passage_key(url: Column, title: Column, text: Column) -> Column:
@@ -97,6 +98,7 @@ def quota_fuse(df: DataFrame, entities: DataFrame, top: int, per_entity: int = X
     rows = rows.where(F.col("pos") <= size).withColumn(
         "owners", F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
                            lambda i: F.contains(F.concat("text", F.lit(" "), "title"), F.get("entities", i))))
+    rows = cut(rows)  # a few dozen rows per question, read by the fold and by the final join
     small = rows.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "owners"))).alias("pool"), F.first("entities").alias("ents"))
     picked = small.select("query_id", F.when(F.size("ents") < 2, F.expr(f"slice(transform(pool, (x, i) -> i), 1, {top})")).otherwise(

@@ -48,9 +48,10 @@ def within_budget(df: DataFrame, elapsed: Column, layer: Column) -> Column:
 
 
 def retrieve(queries: DataFrame, offline: list[DataFrame], web: DataFrame, entities: DataFrame | None = None,
-             encoder=hash_embed8, k: int = X.FUSED_K, near_dup: float = X.NEAR_DUP) -> tuple[DataFrame, DataFrame]:
+             encoder=hash_embed8, k: int = X.FUSED_K, near_dup: float = X.NEAR_DUP,
+             fuse: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """``queries`` (query_id, query, forced, routed_web). Returns the summary
-    (one row per question) and the fused passages (query_id, pos, ...)."""
+    (one row per question) and, with ``fuse``, the passages (query_id, pos, ...)."""
     off = offline[0]
     for o in offline[1:]:
         off = off.unionByName(o)
@@ -69,13 +70,15 @@ def retrieve(queries: DataFrame, offline: list[DataFrame], web: DataFrame, entit
     allp = off.unionByName(web.join(called, "query_id", "left_semi"))
     final = P.noisy_or(allp)
     hits = allp.groupBy("query_id").agg(*[F.count_if(F.col("layer") == n).alias(f"n_{n}") for n in LIST_NO])
+    summary = (flags.join(final, "query_id", "left").join(hits, "query_id", "left")
+               .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+               .withColumn("low_evidence", F.col("confidence") < X.ABSTAIN_CONFIDENCE)
+               .fillna(0, [f"n_{n}" for n in LIST_NO]))
+    if not fuse:
+        return summary, None
     cand = k * X.CANDIDATE_MULTIPLIER
     fused = U.quota_fuse(allp, entities, cand) if entities is not None else U.rrf_top(allp, cand)
     fused = fused.withColumn("embedding", F.when(F.col("layer") == "L4_web", encoder(
         F.substring(F.concat_ws(" ", "title", "text"), 1, 512))).otherwise(F.array().cast("array<double>")))
     best = D.diversify(fused, k, threshold=near_dup)
-    summary = (flags.join(final, "query_id", "left").join(hits, "query_id", "left")
-               .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-               .withColumn("low_evidence", F.col("confidence") < X.ABSTAIN_CONFIDENCE)
-               .fillna(0, [f"n_{n}" for n in LIST_NO]))
     return summary, best

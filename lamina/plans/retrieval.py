@@ -494,6 +494,14 @@ SELECT f.query_id, f.oconf AS offline_confidence, CAST(f.coverage AS DOUBLE) AS
 FROM flg f LEFT JOIN fc c USING (query_id)""")
 def layered_retrieve(spark, sf):
     queries, off, web = layer_frames(spark, sf)
-    s, _ = LY.retrieve(queries, off, web, ents(spark, sf))
+    s, _ = LY.retrieve(queries, off, web, fuse=False)
     return s.select("query_id", "offline_confidence", "coverage", "web_fallback", "confidence", "low_evidence", F.col("n_L4_web").alias("n_web"),
                     (F.col("n_L2_wiki") + F.col("n_L3_history") + F.col("n_L5_kg") + F.col("n_L4_web")).alias("n_all"))
+
+
+@query("layered_passages")
+def layered_passages(spark, sf):
+    """The passages of the same retrieval: fused with quotas, deduplicated, diversified."""
+    queries, off, web = layer_frames(spark, sf)
+    _, best = LY.retrieve(queries, off, web, ents(spark, sf))
+    return best.select("query_id", "pos", "layer", "id", "rrf", "calibrated")

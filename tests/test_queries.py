@@ -42,4 +42,4 @@ def test_entry(spark):
 def test_every_query_has_a_check_or_is_listed():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only == {"ivf_topk", "fit_platt", "rerank_cascade", "mention_hybrid", "kg_bfs_capped", "citation_spans", "render_sources",
-                         "format_tool_result", "result_json", "slim_sources", "iterative_retrieve", "parallel_entities", "vector_append"}
+                         "format_tool_result", "result_json", "slim_sources", "iterative_retrieve", "parallel_entities", "vector_append", "layered_passages"}
