@@ -4,7 +4,7 @@ words over Arrow buffers."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -53,6 +53,11 @@ def running_base(totals: DataFrame, part: str, sizes: dict[str, str]) -> DataFra
     return totals.select(part, *[F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(out) for c, out in sizes.items()])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, though it is used often."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import packing, sentencepiece, token_files
+from lamina.llm import line_dedup, near_dup, order_minhash, packing, quality, sentencepiece, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,40 @@ def op5_sentencepiece(spark, sf_dir):
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op1_near_dup")
+def op1_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark, sf_dir):
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: The visible lines of a page are found by the same patterns in both engines.
+_PAGE_LINES = """
+    SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+           list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''),
+               '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')), lambda x: x <> '') AS lines
+    FROM pages"""
+
+
+@query("op10_line_dedup", f"""
+WITH p AS ({_PAGE_LINES}),
+  l AS (SELECT page_id, host, generate_subscripts(lines, 1) AS k, unnest(lines) AS line FROM p),
+  c AS (SELECT host, line, count(DISTINCT page_id) AS n FROM l WHERE NOT regexp_matches(line, '^[\x20\x09-\x0D]*$') GROUP BY ALL),
+  t AS (SELECT host, count(*) AS total FROM p GROUP BY ALL),
+  b AS (SELECT c.host, c.line FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n > 0.1 * t.total AND c.n >= 3),
+  k AS (SELECT l.page_id, list(l.line ORDER BY k) AS kept FROM l LEFT JOIN b ON l.host IS NOT DISTINCT FROM b.host AND l.line = b.line WHERE b.line IS NULL GROUP BY ALL),
+  f AS (SELECT p.page_id, p.host, p.lines, CASE WHEN 2 * length(coalesce(array_to_string(k.kept, ''), '')) >= length(array_to_string(p.lines, '')) THEN coalesce(k.kept, []) ELSE p.lines END AS kept
+        FROM p LEFT JOIN k USING (page_id))
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM f""")
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_pages(table(spark, sf_dir, "pages"))
