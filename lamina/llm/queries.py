@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import line_dedup, near_dup, order_minhash, packing, quality, sentencepiece, token_files
+from lamina.llm import line_dedup, near_dup, order_minhash, packing, quality, sentencepiece, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,28 @@ WITH p AS ({_PAGE_LINES}),
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM f""")
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Base32 from the 160 bits of a SHA-1: five at a time.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j:
+    CASE WHEN substr(bits, 5 * i + j + 1, 1) = '1' THEN 16 >> j ELSE 0 END))::BIGINT, 1)), '')"""
+
+
+@query("op9_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  d AS (SELECT page_id, h, array_to_string(list_transform(range(40), lambda i: substr(
+          '0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(sha1(h), i + 1, 1)) - 1) + 1, 4)), '') AS bits FROM p),
+  f AS (SELECT page_id, h, bits, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f""")
+def op9_warc(spark, sf_dir):
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, manifest, with_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
