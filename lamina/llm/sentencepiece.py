@@ -33,7 +33,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Most words and pairs kept by a Python worker, and the longest word kept.
-KEPT_WORDS, KEPT_CHARS = 600_000, 60
+KEPT_WORDS, KEPT_CHARS = 300_000, 60
 
 
 class Vocabulary:
@@ -110,7 +110,7 @@ class Vocabulary:
         """Ids of each text, little-endian unsigned 32-bit."""
         if len(self.words) > KEPT_WORDS:
             self.words = {}
-        if len(self.pairs) > 4 * KEPT_WORDS:
+        if len(self.pairs) > KEPT_WORDS:
             self.pairs = {}
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         found = [list(map(self.words.get, s)) for s in split]
