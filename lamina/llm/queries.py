@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import line_dedup, near_dup, order_minhash, packing, quality, sentencepiece, token_files, toxicity, warc
+from lamina.llm import line_dedup, lm_score, near_dup, order_minhash, packing, quality, sentencepiece, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,8 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
 def op9_warc(spark, sf_dir):
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, manifest, with_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    return lm_score.scores(table(spark, sf_dir, "documents"))
