@@ -111,3 +111,11 @@ def judged(docs: DataFrame, spread: int = SPREAD, least_rows: int = LEAST_ROWS)
     within = all_of([F.col(x) <= F.col(f"max_{x}") for x in SLACK])
     joined = m.join(groups, F.expr("lang <=> g_lang and source <=> g_source"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"))
+
+
+def filtered(docs: DataFrame, spread: int = SPREAD, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source"))
+    verdict = judged(keyed.select(F.col("_key").alias("doc_id"), "text", "lang", "source"), spread, least_rows)
+    gone = verdict.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
