@@ -102,6 +102,20 @@ def _words(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(bits)).alias("contexts"))
 
 
+def _heaviest(words: DataFrame, most: int) -> list[bytes]:
+    """Words by falling weight, as many classes of weight (an eighth of a power of
+    two) as ``most`` words allow: tasks send nothing that isn't taken."""
+    classed = words.withColumn("c", F.floor(F.log2(F.col("weight").cast("double")) * 8).cast("int"))
+    least, total = 1 << 30, 0
+    for r in sorted(classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):
+        total += r["n"]
+        if total > most and least < 1 << 30:
+            break
+        least = r["c"]
+    rows = classed.where(F.col("c") >= least).select("word", "weight").collect()
+    return [r["word"].encode() for r in sorted(rows, key=lambda r: (-r["weight"], r["word"]))]
+
+
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """``toxic`` from most to least telling, ``ordinary`` from most to least frequent."""
     parts = {x[i:j] for w in toxic for x in [b" " + w] for i in range(len(x)) for j in range(i + LEAST_MATCH, len(x) + 1)}
@@ -129,7 +143,8 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byt
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of the rows of ``docs`` that ``labels`` (doc_id, toxic) cover; None if none of them is toxic."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = stored(docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id").select("toxic", "text"), "labelled")
+    # a merge join whatever the size of the labels, which grow with the documents
+    labelled = stored(docs.select("doc_id", "text").where("text is not null").join(marks.hint("merge"), "doc_id").select("toxic", "text"), "labelled")
     bad, rows = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     if not bad:
         return None
@@ -139,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     telling = (F.col("bad") >= max(3, 0.01 * bad)) & (F.col("contexts") >= max(3, min(8, bad // 50))) & (weight > 2.5)
     marked = words.withColumn("telling", telling).withColumn("value", F.col("bad") * weight)
     toxic = [r[0].encode() for r in marked.where("telling").orderBy(F.desc("value"), "word").limit(TOXIC_WORDS).select("word").collect()]
-    plain = [r[0].encode() for r in marked.where("not telling and n > bad").orderBy(F.expr("(n - bad) * octet_length(word)").desc(), "word").limit(ORDINARY_WORDS).select("word").collect()]
+    plain = _heaviest(marked.where("not telling and n > bad").select("word", F.expr("(n - bad) * octet_length(word)").alias("weight")), ORDINARY_WORDS)
     ordinary, both = _dictionaries(toxic, plain)
     raw = Model(both, ordinary, ())
 
