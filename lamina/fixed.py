@@ -438,3 +438,7 @@ MAX_SESSIONS, MAX_TURNS, RECENT_TURNS = 512, 8, 3
 WORKER_FLUSH_ROWS, WORKER_FLUSH_S = 32, 5
 HISTORY_CHARS = 2000
 FIT = {"lr": 0.1, "epochs": 500, "init_a": 10.0, "init_b": 0.55, "min_a": 0.1}
+
+# ---- limits of reports ---------------------------------------------------------
+#: Articles kept by page views, and entities encoded ahead.
+TOP_ARTICLES, HOT_ENTITIES = 100_000, 300_000

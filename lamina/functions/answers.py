@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lamina import fixed as X
 from lamina.functions.text import U, let, rstrip, strip
-from lamina.operators.ranking import top_k
 
 
 def _ids(group: Column) -> Column:
@@ -81,7 +81,7 @@ def dedup_sources(df: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in (*keys, "pos")]
     g = d.groupBy(*keys, "skey").agg(F.min("pos").alias("first"), F.min_by(F.struct(*rest), F.struct(-F.col("confidence"), "pos")).alias("r"))
     g = g.select(*keys, "first", *[F.col(f"r.{c}").alias(c) for c in rest])
-    return top_k(g, keys, [F.asc("first")], 1000, rank="source_id")
+    return g.withColumn("source_id", F.row_number().over(W.partitionBy(*keys).orderBy("first")))
 
 
 def split_followups(answer: Column, question: Column) -> Column:

@@ -64,7 +64,7 @@ def noisy_or(df: DataFrame, key: str = "query_id", p: str = "calibrated", top: i
     return best.groupBy(key).agg(F.round(1.0 - folded, 4).alias("confidence"))
 
 
-ONE_TASK_CELLS = 2_000_000
+SCORE_DIGITS = 4
 
 
 def _descend(a, b, ga, gb, n):
@@ -74,37 +74,17 @@ def _descend(a, b, ga, gb, n):
 def fit_platt(samples: DataFrame, key: str = "layer", epochs: int = X.FIT["epochs"]) -> DataFrame:
     """Full-batch gradient descent per key over (key, score, label).
 
-    Equal samples are folded to one weighted cell first. Keys whose cells fit
-    one task run all epochs there; with more distinct cells every epoch is one
-    distributed sum over the checkpointed cells. Both give the same descent."""
-    from lamina.session import cut
-
-    cells = cut(samples.groupBy(key, F.col("score").alias("s"), F.col("label").cast("double").alias("y")).agg(
-        F.count(F.lit(1)).alias("w")))
-    most = cells.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    schema = f"{key} {dict(samples.dtypes)[key]}, a double, b double, n long"
-    if most <= ONE_TASK_CELLS:
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            s, y, w = (pdf[c].to_numpy(float) for c in ("s", "y", "w"))
-            a, b, n = X.FIT["init_a"], X.FIT["init_b"], w.sum()
-            for _ in range(epochs):
-                d = (1.0 / (1.0 + np.exp(-np.clip(a * (s - b), -60, 60))) - y) * w
-                a, b = _descend(a, b, (d * (s - b)).sum(), (d * -a).sum(), n)
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [round(a, 4)], "b": [round(b, 4)], "n": [int(n)]})
-
-        return cells.groupBy(key).applyInPandas(fit, schema)
-    return _fit_by_epoch(cells, key, schema, epochs)
-
-
-def _fit_by_epoch(cells: DataFrame, key: str, schema: str, epochs: int) -> DataFrame:
-    """One row of parameters per key travels; the cells stay where they are."""
-    spark = cells.sparkSession
-    par = {r[key]: (X.FIT["init_a"], X.FIT["init_b"], r["n"]) for r in cells.groupBy(key).agg(F.sum("w").alias("n")).collect()}
-    for _ in range(epochs):
-        p = spark.createDataFrame([(k, a, b) for k, (a, b, _) in par.items()], f"{key} {dict(cells.dtypes)[key]}, a double, b double")
-        g = cells.join(F.broadcast(p), key).withColumn("d", (sigmoid(F.col("a") * (F.col("s") - F.col("b"))) - F.col("y")) * F.col("w"))
-        sums = g.groupBy(key).agg(F.sum(F.col("d") * (F.col("s") - F.col("b"))).alias("ga"), F.sum(-F.col("d") * F.col("a")).alias("gb"))
-        for r in sums.collect():
-            a, b, n = par[r[key]]
-            par[r[key]] = (*_descend(a, b, r["ga"], r["gb"], n), n)
-    return spark.createDataFrame([(k, round(a, 4), round(b, 4), int(n)) for k, (a, b, n) in par.items()], schema)
+    Scores are published with four digits; equal samples are folded to one
+    weighted cell, so that the descent of a key runs over a number of cells that
+    the digits bound, whatever the number of samples."""
+    cells = samples.groupBy(key, F.round("score", SCORE_DIGITS).alias("s"), F.col("label").cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, y, w = (pdf[c].to_numpy(float) for c in ("s", "y", "w"))
+        a, b, n = X.FIT["init_a"], X.FIT["init_b"], w.sum()
+        for _ in range(epochs):
+            d = (1.0 / (1.0 + np.exp(-np.clip(a * (s - b), -60, 60))) - y) * w
+            a, b = _descend(a, b, (d * (s - b)).sum(), (d * -a).sum(), n)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [round(a, 4)], "b": [round(b, 4)], "n": [int(n)]})
+
+    return cells.groupBy(key).applyInPandas(fit, f"{key} {dict(samples.dtypes)[key]}, a double, b double, n long")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lamina import fixed as X
 from lamina.operators.ranking import top_k
@@ -86,11 +87,10 @@ def quota_pick(pool: Column, owners: Callable[[Column], Column], n_entities: Col
 
 
 def quota_fuse(df: DataFrame, entities: DataFrame, top: int, per_entity: int = X.PER_ENTITY) -> DataFrame:
-    """``entities`` (query_id, entities array): at most a handful per query.
-    Fewer than two entities leave plain rank fusion."""
+    """``entities`` (query_id, entities array): any number per query, and the
+    pool grows with it. Fewer than two entities leave plain rank fusion."""
     fused = rrf(df)
-    pool_n = max(top * 3, X.MAX_ENTITIES * per_entity * 2)  # upper bound over entity counts
-    ranked = top_k(fused, ["query_id"], rrf_order(), pool_n, rank="pos")
+    ranked = fused.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*rrf_order())))  # a question's lists, cut by the layers before
     rows = ranked.join(entities, "query_id", "left").withColumn(
         "entities", F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: e != ""))
     n = F.size("entities")

@@ -82,17 +82,14 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, **kw) -> DataFrame
 # ---- inverted file ------------------------------------------------------------
 
 
-def train_lists(corpus: DataFrame, nlist: int, seed: int = 42, sample: int = 200_000) -> np.ndarray:
-    """Centroids by k-means. Training reads at most ``sample`` vectors (the
-    index itself always holds all of them)."""
+def train_lists(corpus: DataFrame, nlist: int, seed: int = 42) -> np.ndarray:
+    """Centroids by k-means over all vectors; fewer than ``nlist`` when there are
+    fewer different vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = corpus.select(array_to_vector(F.col("cv").cast("array<double>")).alias("features"))
-    n = corpus.count()
-    if n > sample:
-        v = v.sample(False, sample / n, seed)
-    model = KMeans(k=min(nlist, n), seed=seed, maxIter=10).fit(v)
+    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(v)
     return np.array(model.clusterCenters())
 
 

@@ -172,11 +172,11 @@ def article_rank_join(spark, sf):
 
 @query("hot_entities", sql(ENTS, "titles", "kg_raw_entities", "kg_triples") + """
 SELECT qid, concat(label_zh, ' —— ', description) AS text FROM ents WHERE article_rank IS NOT NULL AND label_zh IS NOT NULL
-ORDER BY article_rank, qid LIMIT 300000""")
+ORDER BY article_rank, qid LIMIT """ + str(X.HOT_ENTITIES))
 def hot_entities(spark, sf):
     e = entities(spark, sf).where(F.col("article_rank").isNotNull() & F.col("label_zh").isNotNull())
     r = ranked(e, [F.asc("article_rank"), F.asc("qid")], "pos")  # the limit is large, so no single task sorts it
-    return r.where(F.col("pos") <= 300_000).select("qid", F.concat("label_zh", F.lit(" —— "), "description").alias("text"))
+    return r.where(F.col("pos") <= X.HOT_ENTITIES).select("qid", F.concat("label_zh", F.lit(" —— "), "description").alias("text"))
 
 
 @query("dirty_escape_count", sql("", "nt_lines") + r"""

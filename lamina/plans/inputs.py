@@ -254,24 +254,13 @@ def with_clause(*names: str, extra: str = "") -> str:
 
 
 _HANDLES: dict[tuple, DataFrame] = {}
-TEXT_TABLES = ("orders", "documents", "conversations", "pages")  # rows that feed per-row text work
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Text rules cost far more per byte than the scan. A table that arrives in
-    fewer splits than there are cores is dealt out first; one with enough
-    splits, as any large table has, is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Only the handle is kept, so that its footer is read once
     per application; the data is scanned by every query that uses it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _HANDLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _HANDLES[key] = spread(df) if name in TEXT_TABLES else df
+        _HANDLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _HANDLES[key]
 
 
@@ -279,14 +268,18 @@ _BUILT: dict[tuple, DataFrame] = {}
 
 
 def built(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table the offline build stores once: written to the checkpoint folder
-    on first use in an application and read from there afterwards."""
+    """A table that one query reads several times: written to the checkpoint
+    folder on first use in the query. The next query builds its own."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
         _BUILT[key] = cut(make())
     return _BUILT[key]
 
 
+def forget() -> None:
+    _BUILT.clear()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input (or a given table) as a DataFrame."""
     if name in TABLES:

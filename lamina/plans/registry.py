@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,11 +11,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def fresh(fn):
+    """Each run of a query starts without what earlier ones have built."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from lamina.plans.inputs import forget
+
+        forget()
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, oracle: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = fresh(fn)
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

@@ -59,19 +59,19 @@ def title_rank(spark, sf):
     return G.ranks(spark, sf)
 
 
-TOP_N = 400
-ART = f"""{G.RANK}, sel AS (SELECT a.doc_id, a.title, a.text, r.rank FROM articles a JOIN ranks r USING (title) WHERE length(a.text) >= 200 AND r.rank < {TOP_N}),
+def art_sql(top: int | None = None) -> str:
+    return f"""{G.RANK}, sel AS (SELECT a.doc_id, a.title, a.text, r.rank FROM articles a JOIN ranks r USING (title) WHERE length(a.text) >= 200{'' if top is None else f' AND r.rank < {top}'}),
  art AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY length(text) DESC, doc_id) AS d FROM sel) WHERE d = 1)"""
 
 
-def articles(spark, sf):
-    r = C.title_rank(load(spark, sf, "titles"), F.lower, TOP_N)
+def articles(spark, sf, top=None):
+    r = C.title_rank(load(spark, sf, "titles"), F.lower, top)
     return C.select_articles(load(spark, sf, "articles"), r)
 
 
-@query("topn_articles", with_clause("titles", "articles", extra=ART) + "SELECT rank, doc_id, title, CAST(length(text) AS INTEGER) AS n FROM art")
+@query("topn_articles", with_clause("titles", "articles", extra=art_sql(X.TOP_ARTICLES)) + "SELECT rank, doc_id, title, CAST(length(text) AS INTEGER) AS n FROM art")
 def topn_articles(spark, sf):
-    return articles(spark, sf).select("rank", "doc_id", "title", F.length("text").alias("n"))
+    return articles(spark, sf, X.TOP_ARTICLES).select("rank", "doc_id", "title", F.length("text").alias("n"))
 
 
 @query("dedup_longest", "SELECT source, lang, doc_id, n FROM (SELECT source, lang, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) AS d FROM documents) WHERE d = 1")
@@ -84,7 +84,7 @@ CHO = """cf AS (SELECT rank, doc_id, array_to_string(list_filter(list_transform(
  cn AS (SELECT *, unnest(range(0, CASE WHEN length(f) <= 512 THEN 1 ELSE CAST(ceil((length(f) - 512) / 448.0) AS BIGINT) + 1 END)) AS i FROM cf WHERE f <> '')"""
 
 
-@query("chunk_order", with_clause("titles", "articles", extra=ART + ", " + CHO) + "SELECT doc_id || '_' || i AS chunk_id, row_number() OVER (ORDER BY rank, i) - 1 AS ord FROM cn")
+@query("chunk_order", with_clause("titles", "articles", extra=art_sql() + ", " + CHO) + "SELECT doc_id || '_' || i AS chunk_id, row_number() OVER (ORDER BY rank, i) - 1 AS ord FROM cn")
 def chunk_order(spark, sf):
     a = articles(spark, sf)
     ch = C.chunks(a.select("doc_id", "text")).select("doc_id", "chunk_idx", "chunk_id").join(a.select("doc_id", "rank"), "doc_id")
@@ -137,7 +137,7 @@ def l1_lookup(spark, sf):
 
 FUZ = f"""{ENTRY}, ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
  en AS (SELECT e.*, ve.v FROM (SELECT *, seq % (SELECT count(*) FROM embeddings) AS vec_id FROM ent0) e JOIN ve USING (vec_id)),
- qs AS (SELECT t.turn_id AS query_id, t.query, t.namespace, ve.v FROM turns t JOIN ve ON ve.vec_id = t.turn_id),
+ qs AS (SELECT t.turn_id AS query_id, t.query, t.namespace, ve.v FROM turns t JOIN ve ON ve.vec_id = t.turn_id % (SELECT count(*) FROM embeddings)),
  sc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM (SELECT q.query_id, q.query AS q1, q.namespace AS n1, e.seq, e.query AS q2, e.namespace AS n2,
    e.write_ts, e.ttl, round(list_dot_product(q.v, e.v), 6) AS score FROM qs q, en e)),
  questions_ AS (SELECT DISTINCT query FROM turns), {SLOTS_SQL.replace('FROM questions)', 'FROM (SELECT query AS query_id, query FROM questions_))')},
@@ -152,7 +152,8 @@ def cache_fuzzy(spark, sf):
     n = e.agg(F.count(F.lit(1)).alias("n_vec"))  # one row
     en = entries(spark, sf).join(F.broadcast(n)).withColumn("vec_id", F.col("seq") % F.col("n_vec")).join(e, "vec_id")
     en = cut(en.select(F.col("seq").alias("id"), "query", "namespace", "answer", "write_ts", "ttl", F.col("embedding").alias("cv")))
-    q = load(spark, sf, "turns").join(e.withColumnRenamed("vec_id", "turn_id"), "turn_id").select(F.col("turn_id").alias("query_id"), "query", "namespace", F.col("embedding").alias("qv"))
+    asked = load(spark, sf, "turns").join(F.broadcast(n)).withColumn("vec_id", F.col("turn_id") % F.col("n_vec"))
+    q = asked.join(e, "vec_id").select(F.col("turn_id").alias("query_id"), "query", "namespace", F.col("embedding").alias("qv"))
     return CA.fuzzy(q, en, NOW, threshold=0.3).select("query_id", "id", "score")
 
 

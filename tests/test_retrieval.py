@@ -85,12 +85,25 @@ def test_noisy_or_points(spark):
     assert abs(got[50] - 0.7308) < 2e-4 and abs(got[55] - 0.8750) < 2e-4 and abs(got[65] - 0.9876) < 2e-4
 
 
-def test_fit_is_the_same_in_one_task_and_by_epoch(spark, monkeypatch):
+def test_fit_against_a_loop(spark):
     syn = [("x", s, y) for s, y in ((0.3, 0), (0.4, 0), (0.5, 0), (0.6, 1), (0.7, 1), (0.8, 1)) for _ in range(20)]
     d = spark.createDataFrame(syn, "layer string, score double, label int")
-    one = P.fit_platt(d, epochs=20).collect()
-    monkeypatch.setattr(P, "ONE_TASK_CELLS", 0)
-    assert P.fit_platt(d, epochs=20).collect() == one
+    (got,) = P.fit_platt(d, epochs=20).collect()
+    a, b, lr = P.X.FIT["init_a"], P.X.FIT["init_b"], P.X.FIT["lr"]
+    for _ in range(20):
+        e = [(1 / (1 + math.exp(-a * (s - b))) - y, s) for _, s, y in syn]
+        ga, gb = sum(d * (s - b) for d, s in e) / len(e), sum(d * -a for d, s in e) / len(e)
+        a, b = max(a - lr * ga, P.X.FIT["min_a"]), b - lr * gb
+    assert (got.n, got.a, got.b) == (len(syn), round(a, 4), round(b, 4))
+
+
+def test_quota_pool_grows_with_the_entities(spark):
+    ents = [f"e{k}" for k in range(8)]
+    rows = [(1, 1, k + 1, f"d{k}", "L2_wiki", "", "t", f"text {k} " + (ents[7] if 22 <= k < 30 else ents[k % 2]), 0.5, 0.5) for k in range(34)]
+    d = spark.createDataFrame(rows, "query_id int, list_no int, rank int, id string, layer string, url string, title string, text string, score double, calibrated double")
+    e = spark.createDataFrame([(1, ents)], "query_id int, entities array<string>")
+    got = U.quota_fuse(d, e, 6).collect()
+    assert any(ents[7] in r.text for r in got)
 
 
 def test_near_dup_and_mmr_against_loops(spark):
