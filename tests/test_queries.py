@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from check import rows_of
+from lamina.plans import catalog
 from lamina.plans.inputs import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +41,6 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check_or_is_listed():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert rows_only == {"ivf_topk", "fit_platt", "rerank_cascade", "mention_hybrid", "kg_bfs_capped", "citation_spans", "render_sources",
                          "format_tool_result", "result_json", "slim_sources", "iterative_retrieve", "parallel_entities", "vector_append", "layered_passages"}
