@@ -159,3 +159,27 @@ def test_chunked_framing():
 def test_empty_pages(spark):
     _, table = pages(spark)
     assert warc.read_archives(spark, warc.write_archives(table.where("false"))).count() == 0
+
+
+def test_successors_are_summed_over_blocks(spark):
+    r = random.Random(8)
+    rows = [(k, " ".join("a " + r.choice(["b", "b", "c"]) for _ in range(20)) + f" x{k}") for k in range(60)]
+    rows += [(100 + k, "a c a c a c a c a c a c") for k in range(3)]  # more of one successor than any other block has of the usual one
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = Counter()
+    for d, t in rows:
+        w = t.encode().split()
+        if zlib.crc32(str(d).encode()) % 10:
+            pairs.update(zip(w, w[1:]))
+    entries = lm_score.numbered(docs.repartition(20), 10, 0).where("word is not null")
+    assert entries.select("block").distinct().count() > 5
+    got = {bytes(x.word): (x.after >> 31, x.after & 0x7FFFFFFF) for x in lm_score.words_and_successors(entries).collect()}
+    usual = max((b for a, b in pairs if a == b"a"), key=lambda b: pairs[b"a", b])
+    assert got[b"a"] == (pairs[b"a", usual], int(lm_score.hash31([usual])[0]))
+
+
+def test_scores_do_not_depend_on_the_split(spark):
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in texts() if k is not None and k < 250], "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm_score.scores(docs.repartition(n, "doc_id")).collect()} for n in (1, 12))
+    assert one.keys() == many.keys()
+    assert all(abs(one[k] - many[k]) <= 1e-3 * abs(one[k]) for k in one)
