@@ -53,11 +53,11 @@ def paragraphs(text: Column, min_len: int = X.MIN_PARA) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda p: F.length(p) >= min_len)
 
 
-def chunks(docs: DataFrame, size: int = X.CHUNK_SIZE, overlap: int = X.CHUNK_OVERLAP) -> DataFrame:
+def chunks(docs: DataFrame, size: int = X.CHUNK_SIZE, overlap: int = X.CHUNK_OVERLAP, min_para: int = X.MIN_PARA) -> DataFrame:
     """``docs`` (doc_id, text) -> overlapping windows over the kept paragraphs.
     The last window ends exactly at the text's end."""
     step = size - overlap
-    d = docs.select("doc_id", F.array_join(paragraphs(F.col("text")), "\n").alias("full")).where(F.col("full") != "")
+    d = docs.select("doc_id", F.array_join(paragraphs(F.col("text"), min_para), "\n").alias("full")).where(F.col("full") != "")
     n = F.when(F.length("full") <= size, F.lit(1)).otherwise(F.ceil((F.length("full") - size) / step).cast("int") + 1)
     d = d.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), n - 1)))
     return d.select("doc_id", "chunk_idx", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("chunk_idx").cast("string")).alias("chunk_id"),

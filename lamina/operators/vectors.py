@@ -21,7 +21,7 @@ BLOCK = 8192  # rows per side of a grid cell
 STEP = 512    # query rows multiplied at a time
 
 
-def _score_cell(k: int, exclude_same: bool, digits: int):
+def _score_cell(k: int, exclude_same: bool, digits: int, best_per_id: bool = False):
     empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -29,6 +29,8 @@ def _score_cell(k: int, exclude_same: bool, digits: int):
             return empty
         c = c.sort_values("id")
         ids = c["id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if best_per_id else None
+        ids = ids if starts is None else ids[starts]
         mat = np.stack(c["cv"].to_numpy()).astype(np.float64).T
         qids = q["query_id"].to_numpy()
         qmat = np.stack(q["qv"].to_numpy()).astype(np.float64)
@@ -36,6 +38,7 @@ def _score_cell(k: int, exclude_same: bool, digits: int):
         for i in range(0, len(qids), STEP):
             qi = qids[i:i + STEP]
             s = np.round(qmat[i:i + STEP] @ mat, digits)
+            s = s if starts is None else np.maximum.reduceat(s, starts, axis=1)
             if exclude_same:
                 s[qi[:, None] == ids[None, :]] = -np.inf
             kk = min(k, s.shape[1])
@@ -53,8 +56,10 @@ def _score_cell(k: int, exclude_same: bool, digits: int):
 
 
 def cell_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_same: bool = False,
-              block: int = BLOCK, digits: int = 6) -> DataFrame:
-    """``queries`` (query_id, qv, cell) against ``corpus`` (id, cv, cell).
+              block: int = BLOCK, digits: int = 6, best_per_id: bool = False) -> DataFrame:
+    """``queries`` (query_id, qv, cell) against ``corpus`` (id, cv, cell). With
+    ``best_per_id`` the rows of an id count as one with the best of their
+    scores; they share a block, since blocks are dealt by id.
 
     Sizes are counted per cell, so both a crowded cell and a crowded query side
     split into more blocks. The grid has one row per cell, not per vector."""
@@ -69,7 +74,7 @@ def cell_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_same: bool
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq").cast("long") - 1)))
          .select("cell", "qb", "cb", "id", "cv"))
     part = (q.groupBy("cell", "qb", "cb").cogroup(c.groupBy("cell", "qb", "cb"))
-            .applyInPandas(_score_cell(k, exclude_same, digits), "query_id long, id long, score double"))
+            .applyInPandas(_score_cell(k, exclude_same, digits, best_per_id), "query_id long, id long, score double"))
     return top_k(part, ["query_id"], [F.desc("score"), F.asc("id")], k, rank="rank")
 
 

@@ -321,6 +321,17 @@ def sub_hits(spark, sf, subs):
     return VS.exact_topk(q, d, 3)
 
 
+def chunk_vectors(docs):
+    """A vector of every chunk of ``docs`` (doc_id, text), short paragraphs included, under the document's id."""
+    return C.chunks(docs, min_para=1).select(F.col("doc_id").alias("id"), VF.hash_embed8(F.col("chunk")).alias("cv"))
+
+
+def chunk_hits(vectors, subs):
+    """``subs`` (sid, sub): the three documents with the nearest chunks to each sub-question."""
+    q = subs.select(F.col("sid").alias("query_id"), VF.hash_embed8(F.col("sub")).alias("qv"))
+    return VS.exact_topk(q, vectors, 3, best_per_id=True)
+
+
 @query("subquery_expand", with_clause("rq", extra=SUBQ) + "SELECT query_id, min(i * 10 + rank) AS first, arg_min(doc_id, i * 10 + rank) AS doc_id FROM sh GROUP BY query_id, left(text, 120)")
 def subquery_expand(spark, sf):
     e = R.ents(spark, sf).withColumn("es", F.filter("entities", lambda x: x != "")).where(F.size("es") >= 2)
@@ -339,9 +350,10 @@ def iterative_retrieve(spark, sf):
     q = load(spark, sf, "rq").select("query_id", "query")
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
     open_q = q.select(F.col("query_id").alias("sid"), F.col("query").alias("sub"))
+    vectors = cut(chunk_vectors(load(spark, sf, "documents").select("doc_id", "text")))
     found = None
     for hop in range(1, 4):
-        h = sub_hits(spark, sf, open_q).select("query_id", F.lit(hop).alias("hop"), "rank", "id")
+        h = chunk_hits(vectors, open_q).select("query_id", F.lit(hop).alias("hop"), "rank", "id")
         found = cut(h if found is None else found.unionByName(h.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")))
         ev = found.join(docs, "id").withColumn("pos", F.col("hop") * 10 + F.col("rank"))
         cov = V.term_coverage(q, ev).where(V.insufficient(F.col("coverage")))

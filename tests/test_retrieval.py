@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamina.operators import calibration as P
+from lamina.operators import corpus as C
 from lamina.operators import diversify as D
 from lamina.operators import fusion as U
 from lamina.operators import vectors as V
@@ -136,3 +137,19 @@ def test_diversify_only_moves_target_layers(spark):
     got = sorted((r.pos, r.layer, r.url) for r in D.diversify(d, 6).collect())
     assert [g[1] for g in got] == ["L2_wiki", "L4_web", "L2_wiki", "L4_web"]
     assert {g[2] for g in got if g[2]} == {"http://a.x/1", "http://b.x"}
+
+
+def test_chunks_find_what_stands_late_in_a_document(spark):
+    from lamina.plans.stores import chunk_hits, chunk_vectors
+
+    ask = "zebra quilt vortex"
+    docs = spark.createDataFrame([(1, "\n".join(["a plain line of words " * 30] * 9 + [ask])), (2, "plain " * 50), (3, ask), (4, "b\nc"), (5, "aaaa " * 900)], "doc_id long, text string")
+    every = chunk_vectors(docs)
+    assert {r.id for r in every.collect()} == {1, 2, 3, 4, 5}
+    late = C.chunks(docs.where("doc_id = 1"), min_para=1).orderBy(F.desc("chunk_idx")).first()
+    assert late.chunk_idx > 5 and late.chunk.endswith(ask)
+    subs = spark.createDataFrame([(7, ask), (8, late.chunk)], "sid long, sub string")
+    hits = chunk_hits(every, subs).collect()
+    best = {r.query_id: (r.id, r.score) for r in hits if r["rank"] == 1}
+    assert best == {7: (3, 1.0), 8: (1, 1.0)}
+    assert all(len({r.id for r in hits if r.query_id == q}) == 3 for q in (7, 8))  # three documents, not three chunks of one
