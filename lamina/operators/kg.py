@@ -169,12 +169,36 @@ def is_meta(desc: Column) -> Column:
     return F.coalesce(has_any(desc, X.WIKI_META), F.lit(False))
 
 
-def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.WEAK_POP) -> DataFrame:
-    """Candidates per mention: exact names first; names found by prefix at half
-    weight when the exact ones are few or obscure; pages about pages go last.
-    ``scored`` is the stored output of ``scored_mentions``."""
+def simplified(wanted: DataFrame, spelling: DataFrame) -> DataFrame:
+    """The mentions that ``spelling`` (traditional, simple: one character each)
+    changes, with their new form. The map has one row per character."""
+    first = spelling.groupBy("traditional").agg(F.min("simple").alias("simple"))
+    whole = first.agg(F.map_from_entries(F.collect_list(F.struct("traditional", "simple"))).alias("map"))
+    chars = F.transform(F.split("mention", ""), lambda x: F.coalesce(F.try_element_at("map", x), x))
+    out = wanted.select("mention").distinct().join(F.broadcast(whole)).select("mention", F.array_join(chars, "").alias("simple"))
+    return out.where(F.col("simple") != F.col("mention"))
+
+
+def link_simplified(wanted: DataFrame, scored: DataFrame, spelling: DataFrame, exact: DataFrame, k: int = X.LINK_K) -> DataFrame:
+    """Exact names of the simplified mentions at 0.9 of their weight and score, without the ids that ``exact`` has."""
+    s = cut(simplified(wanted, spelling))
+    found = link_exact(s.select(F.col("simple").alias("mention")), scored, k).withColumnRenamed("mention", "simple").join(s, "simple")
+    new = found.join(exact.select("mention", "qid"), ["mention", "qid"], "left_anti")
+    new = first_per_key(new.select("mention", "qid", "pos", "weight", "source", "label_zh", "description", "popularity", "score"), ["mention", "qid"], ["pos"])
+    return new.withColumns({"weight": F.col("weight") * 0.9, "score": F.col("score") * 0.9, "source": F.concat(F.lit("t2s:"), "source")})
+
+
+def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.WEAK_POP, spelling: DataFrame | None = None) -> DataFrame:
+    """Candidates per mention: exact names first, with those of its simplified
+    spelling when a map is given (``spelling``: traditional, simple); names found
+    by prefix at half weight when these are few or obscure; pages about pages go
+    last. ``scored`` is the stored output of ``scored_mentions``."""
     cols = ["mention", "qid", "weight", "source", "label_zh", "description", "popularity", "score"]
     ex = cut(link_exact(wanted, scored, k))  # k rows per asked name, read four times below
+    ex = ex.select(*cols, F.lit(0).alias("retry"), "pos")
+    if spelling is not None:
+        again = link_simplified(wanted, scored, spelling, ex, k)
+        ex = cut(ex.unionByName(again.select(*cols, F.lit(1).alias("retry"), "pos")))  # at most 2 k rows per asked name
     stats = ex.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.max("popularity").alias("best"))
     need = wanted.distinct().join(stats, "mention", "left").where(
         (F.coalesce("n", F.lit(0)) < k) | (F.coalesce("best", F.lit(0)) < weak)).select("mention")
@@ -183,9 +207,9 @@ def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.
                        ["mention", "qid"], ["fpos"])
     fz = fz.join(ex.select("mention", "qid"), ["mention", "qid"], "left_anti").select(
         "mention", "qid", (F.col("weight") * 0.5).alias("weight"), F.concat(F.lit("fts:"), "source").alias("source"),
-        "label_zh", "description", "popularity", (F.col("score") * 0.5).alias("score"), F.lit(2).alias("branch"), F.col("fpos").alias("bpos"))
-    both = ex.select(*cols, F.lit(1).alias("branch"), F.col("pos").alias("bpos")).unionByName(fz)
-    order = [is_meta(F.col("description")).asc(), F.desc("score"), F.asc("branch"), F.asc("bpos")]
+        "label_zh", "description", "popularity", (F.col("score") * 0.5).alias("score"), F.lit(2).alias("branch"), F.lit(0).alias("retry"), F.col("fpos").alias("bpos"))
+    both = ex.select(*cols, F.lit(1).alias("branch"), "retry", F.col("pos").alias("bpos")).unionByName(fz)
+    order = [is_meta(F.col("description")).asc(), F.desc("score"), F.asc("branch"), F.asc("retry"), F.asc("bpos")]
     return top_k(both, ["mention"], order, k, rank="pos").select(*cols, "pos")
 
 

@@ -220,9 +220,14 @@ def kg_link_fuzzy(spark, sf):
     return K.link_fuzzy(need.select("mention"), sc).select("mention", "name", "qid", "score", "fpos")
 
 
+def spelling(spark):
+    """The map of ``t2s_map`` as a table."""
+    return spark.createDataFrame(list(zip("總統訂單額", "总统订单额")), "traditional string, simple string")
+
+
 @query("kg_link", sql(f"{ENTS}, {MENT}, {WANTED}, {SCORED}, {FUZZY}, {LINKED}") + f"SELECT {_LINK_COLS} FROM linked")
 def kg_link(spark, sf):
-    return K.link(wanted(spark, sf), scored(spark, sf)).select("mention", "qid", "weight", "source", "score", "pos")
+    return K.link(wanted(spark, sf), scored(spark, sf), spelling=spelling(spark)).select("mention", "qid", "weight", "source", "score", "pos")
 
 
 def _suffix_case() -> str:
@@ -387,7 +392,7 @@ def ordered_mentions(spark, sf):
 
 def disambiguated(spark, sf):
     a = ordered_mentions(spark, sf)
-    cands = K.link(a.select("mention").distinct(), scored(spark, sf))
+    cands = K.link(a.select("mention").distinct(), scored(spark, sf), spelling=spelling(spark))
     hot = load(spark, sf, "embeddings").select(F.concat(F.lit("C"), F.col("vec_id").cast("string")).alias("qid"), "embedding")
     return L.disambiguate(a, cands, triples(spark, sf), CAND_K, hot)
 

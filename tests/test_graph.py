@@ -77,6 +77,18 @@ def test_link_falls_back_to_prefixes(spark):
     assert {r.qid for r in got if r.mention == "ring"} == {"q1", "q2", "q3"}
 
 
+def test_link_retries_the_simplified_spelling(spark):
+    ents = spark.createDataFrame([("q1", "總統", None, "a", None, 5000), ("q2", "总统", None, "b", None, 4000), ("q3", "总统", None, "c", None, 3000)], ENT)
+    men = spark.createDataFrame([("總統", "q1", 1.0, "label"), ("总统", "q1", 1.0, "label"), ("总统", "q2", 1.0, "label"), ("总统", "q3", 0.6, "alias")], MEN)
+    t2s = spark.createDataFrame([("總", "总"), ("統", "统")], "traditional string, simple string")
+    asked = spark.createDataFrame([("總統",), ("总统",)], "mention string")
+    got = K.link(asked, K.scored_mentions(men, ents), spelling=t2s).orderBy("mention", "pos").collect()
+    old = [(r.qid, r.source, round(r.weight, 6)) for r in got if r.mention == "總統" and not r.source.startswith("fts:")]
+    assert old == [("q1", "label", 1.0), ("q2", "t2s:label", 0.9), ("q3", "t2s:alias", 0.54)]
+    assert {r.source for r in got if r.mention == "总统"} == {"label", "alias"}
+    assert [r.qid for r in K.link(asked, K.scored_mentions(men, ents)).where("mention = '總統'").collect()] == ["q1"]
+
+
 def test_ngrams_prefer_longer_names(spark):
     q = spark.createDataFrame([(1, "abcdef ab")], "query_id int, query string")
     m = spark.createDataFrame([("abcd", "x", 1.0, "label"), ("cdef", "y", 1.0, "label"), ("ab", "z", 1.0, "label")], MEN)
