@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import line_dedup, lm_score, near_dup, order_minhash, packing, quality, sentencepiece, token_files, toxicity, warc
+from lamina.llm import byte_bpe, line_dedup, lm_score, near_dup, order_minhash, packing, periodic_runs, quality, sentencepiece, token_files, toxicity, turn_repair, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,20 @@ def op9_warc(spark, sf_dir):
 @query("op3_lm_score")
 def op3_lm_score(spark, sf_dir):
     return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    decoded = byte_bpe.decode_bytes(byte_bpe.encode_bytes(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(conversations), conversations)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.summarised(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
