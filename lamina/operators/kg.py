@@ -188,11 +188,12 @@ def link_simplified(wanted: DataFrame, scored: DataFrame, spelling: DataFrame, e
     return new.withColumns({"weight": F.col("weight") * 0.9, "score": F.col("score") * 0.9, "source": F.concat(F.lit("t2s:"), "source")})
 
 
-def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.WEAK_POP, spelling: DataFrame | None = None) -> DataFrame:
+def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.WEAK_POP, spelling: DataFrame | None = None, index=None) -> DataFrame:
     """Candidates per mention: exact names first, with those of its simplified
     spelling when a map is given (``spelling``: traditional, simple); names found
     by prefix at half weight when these are few or obscure; pages about pages go
-    last. ``scored`` is the stored output of ``scored_mentions``."""
+    last. ``scored`` is the stored output of ``scored_mentions``; ``index``, a
+    ``NameIndex`` of its names, spares expanding them."""
     cols = ["mention", "qid", "weight", "source", "label_zh", "description", "popularity", "score"]
     ex = cut(link_exact(wanted, scored, k))  # k rows per asked name, read four times below
     ex = ex.select(*cols, F.lit(0).alias("retry"), "pos")
@@ -202,7 +203,7 @@ def link(wanted: DataFrame, scored: DataFrame, k: int = X.LINK_K, weak: int = X.
     stats = ex.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.max("popularity").alias("best"))
     need = wanted.distinct().join(stats, "mention", "left").where(
         (F.coalesce("n", F.lit(0)) < k) | (F.coalesce("best", F.lit(0)) < weak)).select("mention")
-    fz = link_fuzzy(need, scored)
+    fz = link_fuzzy(need, scored) if index is None else index.phrases(need, scored)
     fz = first_per_key(fz.select("mention", "qid", "fpos", "weight", "source", "label_zh", "description", "popularity", "score"),
                        ["mention", "qid"], ["fpos"])
     fz = fz.join(ex.select("mention", "qid"), ["mention", "qid"], "left_anti").select(

@@ -8,7 +8,9 @@ from lamina import fixed as X
 from lamina.operators import corpus as C
 from lamina.operators import kg as K
 from lamina.operators import linking as L
+from lamina.operators.name_index import NameIndex
 from lamina.operators.ranking import ranked
+from lamina.sources.sinks import scratch_table
 from lamina.functions.vectors import doubles
 from lamina.plans.inputs import built, load, with_clause
 from lamina.plans.registry import arr, lit, query, tup
@@ -211,13 +213,32 @@ def kg_link_exact(spark, sf):
     return K.link_exact(wanted(spark, sf), sc).select("mention", "qid", "weight", "source", "score", "pos")
 
 
-@query("kg_link_fuzzy", sql(f"{ENTS}, {MENT}, {WANTED}, {SCORED}, {FUZZY}") + "SELECT mention, name, qid, score, CAST(fpos AS INTEGER) AS fpos FROM fz")
-def kg_link_fuzzy(spark, sf):
-    sc = scored(spark, sf)
+_FUZZY_SQL = sql(f"{ENTS}, {MENT}, {WANTED}, {SCORED}, {FUZZY}") + "SELECT mention, name, qid, score, CAST(fpos AS INTEGER) AS fpos FROM fz"
+
+
+def _weak(spark, sf, sc):
+    """Names with few or obscure exact candidates."""
     ex = K.link_exact(wanted(spark, sf), sc)
     st = ex.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.max("popularity").alias("best"))
     need = wanted(spark, sf).join(st, "mention", "left").where((F.coalesce("n", F.lit(0)) < X.LINK_K) | (F.coalesce("best", F.lit(0)) < X.WEAK_POP))
-    return K.link_fuzzy(need.select("mention"), sc).select("mention", "name", "qid", "score", "fpos")
+    return need.select("mention")
+
+
+@query("kg_link_fuzzy", _FUZZY_SQL)
+def kg_link_fuzzy(spark, sf):
+    sc = scored(spark, sf)
+    return K.link_fuzzy(_weak(spark, sf, sc), sc).select("mention", "name", "qid", "score", "fpos")
+
+
+@query("name_index_phrases", _FUZZY_SQL)
+def name_index_phrases(spark, sf):
+    """The same through a stored index that got its names in two parts, and was opened again in between."""
+    sc = scored(spark, sf)
+    folder = scratch_table(spark, "names")
+    late = F.pmod(F.xxhash64("mention"), F.lit(3)) == 0
+    NameIndex(spark, folder).add(sc.where(~late))
+    index = NameIndex.open(spark, folder).add(sc.where(late))
+    return index.phrases(_weak(spark, sf, sc), sc).select("mention", "name", "qid", "score", "fpos")
 
 
 def spelling(spark):
@@ -225,11 +246,21 @@ def spelling(spark):
     return spark.createDataFrame(list(zip("總統訂單額", "总统订单额")), "traditional string, simple string")
 
 
-@query("kg_link", sql(f"{ENTS}, {MENT}, {WANTED}, {SCORED}, {FUZZY}, {LINKED}") + f"SELECT {_LINK_COLS} FROM linked")
+_LINK_SQL = sql(f"{ENTS}, {MENT}, {WANTED}, {SCORED}, {FUZZY}, {LINKED}") + f"SELECT {_LINK_COLS} FROM linked"
+
+
+@query("kg_link", _LINK_SQL)
 def kg_link(spark, sf):
     return K.link(wanted(spark, sf), scored(spark, sf), spelling=spelling(spark)).select("mention", "qid", "weight", "source", "score", "pos")
 
 
+@query("kg_link_indexed", _LINK_SQL)
+def kg_link_indexed(spark, sf):
+    sc = scored(spark, sf)
+    index = NameIndex(spark, scratch_table(spark, "names")).add(sc)
+    return K.link(wanted(spark, sf), sc, spelling=spelling(spark), index=index).select("mention", "qid", "weight", "source", "score", "pos")
+
+
 def _suffix_case() -> str:
     return "CASE " + " ".join(f"WHEN ends_with(label_zh, {lit(s)}) THEN left(label_zh, length(label_zh) - {len(s)})" for s in X.PLACE_SUFFIXES) + " END"
 
