@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from lamina import fixed as X
 from lamina.operators.ranking import top_k
 from lamina.session import cut
+from lamina.sources.sinks import whole_folders
 
 ROW = ["name", "qid", "weight", "source", "label_zh", "description", "popularity", "score"]
 
@@ -64,12 +65,7 @@ class NameIndex:
     @staticmethod
     def open(spark: SparkSession, folder: str, k: int = X.FUZZY_K) -> NameIndex:
         """All whole segments below ``folder``, through Spark's own file system."""
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(folder)
-        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = [s.getPath() for s in store.listStatus(path)] if store.exists(path) else []
-        whole = [p.toString() for p in found if store.exists(hadoop.Path(p, "best/_SUCCESS"))]
-        return NameIndex(spark, folder, k, sorted(whole))
+        return NameIndex(spark, folder, k, whole_folders(spark, folder, "best/_SUCCESS"))
 
     def add(self, scored: DataFrame) -> NameIndex:
         """One more segment, of the rows of ``scored`` (mention, qid, ...)."""

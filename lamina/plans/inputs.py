@@ -183,6 +183,22 @@ UNION ALL SELECT alias, qid, 0.6, 'alias', 3 FROM kg_raw_entities WHERE alias IS
 """, "kg_raw_entities")
 
 
+# a graph whose texts were stored with their escapes: two letters in every third customer's, a lone surrogate in some;
+# every sixth customer's name is there in clear as well
+_ESC = "concat(chr(92), 'u5BA2', chr(92), 'u6237')"
+_add("dirty_entities", f"""
+SELECT concat('C', CAST(c_custkey AS STRING)) AS qid, c_name AS label_zh, lower(c_name) AS label_en,
+  concat(CASE WHEN c_custkey % 3 = 0 THEN {_ESC} WHEN c_custkey % 7 = 0 THEN concat(chr(92), 'uD83D') ELSE '客户' END, ' of ', c_mktsegment) AS description FROM customer
+""")
+_add("dirty_mentions", f"""
+SELECT concat(CASE WHEN c_custkey % 3 = 0 THEN {_ESC} ELSE '客户' END, c_name) AS mention, concat('C', CAST(c_custkey AS STRING)) AS qid, CAST(0.8 AS DOUBLE) AS weight, 'alias' AS source FROM customer
+UNION ALL SELECT concat('客户', c_name), concat('C', CAST(c_custkey AS STRING)), 0.3, 'old' FROM customer WHERE c_custkey % 6 = 0
+""")
+_add("dirty_triples", f"""
+SELECT concat('C', CAST(c_custkey AS STRING)) AS s, 'P1' AS p, CAST(NULL AS STRING) AS o, concat(CASE WHEN c_custkey % 5 = 0 THEN {_ESC} ELSE '' END, c_mktsegment) AS v, 'string' AS t FROM customer
+UNION ALL SELECT concat('C', CAST(c_custkey AS STRING)), 'P27', concat('N', CAST(c_nationkey AS STRING)), CAST(NULL AS STRING), 'entity' FROM customer
+""")
+
 # N-Triples lines; ord is the line's place in the file
 _RDF = "concat('<http://www.wikidata.org/entity/Q', CAST({n} AS STRING), '> {p} ', {o}, ' .')"
 _LAB, _NAM = "<http://www.w3.org/2000/01/rdf-schema#label>", "<http://schema.org/name>"

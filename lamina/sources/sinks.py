@@ -26,3 +26,12 @@ def append_vectors(df: DataFrame, path: str, dim: int) -> None:
 def write_graph(triples: DataFrame, path: str) -> None:
     """Triples partitioned by predicate, so that P31/P279 scans read only theirs."""
     triples.write.mode("overwrite").partitionBy("p").parquet(path)
+
+
+def whole_folders(spark: SparkSession, folder: str, marker: str = "_SUCCESS") -> list[str]:
+    """Folders right below ``folder`` that hold ``marker`` ("." for all), in order of their names, through Spark's own file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in store.listStatus(path)] if store.exists(path) else []
+    return sorted(p.toString() for p in found if store.exists(hadoop.Path(p, marker)))

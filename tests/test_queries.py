@@ -14,7 +14,7 @@ from lamina.plans.inputs import TABLES
 SF = "/root/testdata/sf0.001"
 CORE = ("vector_topk noisy_or rrf_fuse quota_fuse mmr near_dup_drop term_coverage l3_history_search cacheability slot_gate kg_link kg_bfs kg_context "
         "mention_ngram kg_entities chunk_text clean_snippet sanitize_evidence evidence_block citations_validate followups_parse shorten_query cache_exact "
-        "cache_fuzzy qa_pairs step_elapsed eval_report eval_rollup title_rank chunk_order stream_archive stream_filter layered_retrieve").split()
+        "cache_fuzzy qa_pairs step_elapsed eval_report eval_rollup title_rank chunk_order stream_archive stream_filter layered_retrieve name_index_phrases kg_store_hop kg_repair").split()
 NAMES = sorted(E.oracle_sql()) if os.environ.get("LAMINA_ALL") else CORE
 
 
