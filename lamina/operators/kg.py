@@ -329,11 +329,15 @@ def context_text(entities: DataFrame, triples: DataFrame, properties: DataFrame,
 def bfs(seeds: DataFrame, triples: DataFrame, max_hops: int) -> DataFrame:
     """``seeds`` (seed): every entity within ``max_hops`` levels, seed = level 1."""
     edges = triples.where((F.col("t") == "entity") & F.col("o").isNotNull()).select(F.col("s").alias("qid"), "o").distinct()
+    if max_hops > 2:
+        edges = cut(edges)  # made once, read at every hop
     level = seeds.select("seed", F.col("seed").alias("qid")).distinct().withColumn("hop", F.lit(1))
     seen = level
     for h in range(2, max_hops + 1):
         nxt = level.select("seed", "qid").join(edges, "qid").select("seed", F.col("o").alias("qid")).distinct()
         level = nxt.join(seen.select("seed", "qid"), ["seed", "qid"], "left_anti").withColumn("hop", F.lit(h))
+        if h < max_hops:
+            level = cut(level)  # the next hop starts from the frontier, not from the seeds
         seen = seen.unionByName(level)
     return seen
 
@@ -346,6 +350,8 @@ def bfs_capped(seeds: DataFrame, triples: DataFrame, entities: DataFrame, max_ho
         entities.select(F.col("qid").alias("o"), F.lit(True).alias("known")), "o", "left")
     adj = adj.groupBy(F.col("s").alias("qid")).agg(F.array_sort(F.collect_list(
         F.struct("pos", "o", "p", F.coalesce("known", F.lit(False)).alias("known")))).alias("facts"))
+    if max_hops > 2:
+        adj = cut(adj)
     item = "array<struct<qid:string,via:string,p:string>>"
     state = seeds.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "qid"))), lambda x: x["qid"]).alias("frontier"))
     state = state.withColumn("visited", F.col("frontier"))
@@ -371,6 +377,8 @@ def bfs_capped(seeds: DataFrame, triples: DataFrame, entities: DataFrame, max_ho
             return F.aggregate(nd["facts"], start, fact, lambda r: F.struct(r["seen"].alias("seen"), r["got"].alias("got")))
 
         res = cur.select("query_id", F.aggregate("nodes", zero, node).alias("r"))
+        if hop < max_hops:
+            res = cut(res)
         found = res.select("query_id", F.posexplode("r.got").alias("pos", "g")).select(
             "query_id", F.lit(hop).alias("hop"), "pos", "g.qid", "g.via", "g.p")
         out = found if out is None else out.unionByName(found)
