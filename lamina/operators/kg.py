@@ -258,6 +258,42 @@ def mention_ngrams(queries: DataFrame, mentions: DataFrame, max_span: int = 8) -
         "query_id", "pos", F.col("h.mention").alias("mention"), F.col("h.i").alias("start"))
 
 
+def segments(queries: DataFrame, names: DataFrame, max_span: int = 24) -> DataFrame:
+    """The most likely split of each question into known names and single characters. ``queries`` (query_id, query), ``names``
+    (name, n: how often it is meant). A name costs 1000 ln(total / n), a character that is no name 1000 ln(total) + 1000,
+    and the split of least cost is found from left to right: each place keeps the cost of its best split and where that
+    one's last word begins, the longer word on a tie. Returns the names in it: query_id, pos, name, start (from 1).
+
+    A question is one row, with its lattice of at most ``max_span`` words per place."""
+    n = F.length("query")
+    known = names.where(F.coalesce(F.length("name"), F.lit(0)).between(1, max_span) & (F.col("n") > 0)).groupBy("name").agg(F.sum("n").alias("n"))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("total"))  # one row
+    cost = F.round(1000 * F.log(F.col("total") / F.col("n"))).cast("long")
+    priced = known.join(F.broadcast(total)).select("name", cost.alias("cost"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_span), n)), lambda w: F.transform(
+        F.sequence(F.lit(1), n - w + 1), lambda i: F.struct(i.alias("start"), (i + w - 1).alias("end"), F.substring(F.col("query"), i, w).alias("name")))))
+    asked = queries.where(n >= 1)
+    words = asked.select("query_id", F.explode(spans).alias("x")).select("query_id", "x.*").join(priced, "name")
+    lattice = words.groupBy("query_id").agg(F.collect_list(F.struct("start", "end", "cost")).alias("words"))
+    rows = asked.select("query_id", "query").join(lattice, "query_id").join(F.broadcast(total)).withColumn("plain", F.round(1000 * F.log("total")).cast("long") + 1000)
+
+    def place(best, e):
+        """The best split that ends with character ``e``; ``best`` has those before it, the empty one first."""
+        ends = F.transform(F.filter("words", lambda w: w.end == e), lambda w: F.struct((best[w.start - 1].cost + w.cost).alias("cost"), w.start.alias("start"), F.lit(True).alias("known")))
+        alone = F.struct((best[e - 1].cost + F.col("plain")).alias("cost"), e.alias("start"), F.lit(False).alias("known"))
+        return F.array_append(best, F.array_min(F.array_append(ends, alone)))
+
+    zero = F.array(F.struct(F.lit(0).cast("long").alias("cost"), F.lit(0).alias("start"), F.lit(False).alias("known")))
+    split = rows.select("query_id", "query", F.aggregate(F.sequence(F.lit(1), n), zero, place).alias("best"))
+    item = "array<struct<start:int,end:int>>"
+    back = F.aggregate(F.sequence(n, F.lit(1)), F.struct(n.alias("at"), F.array().cast(item).alias("out")), lambda a, e: F.when(
+        a.at != e, a).otherwise(F.struct(
+            (F.col("best")[e].start - 1).alias("at"),
+            F.when(F.col("best")[e].known, F.array_append(a.out, F.struct(F.col("best")[e].start.alias("start"), e.alias("end")))).otherwise(a.out).alias("out"))))
+    return split.select("query_id", "query", F.posexplode(F.reverse(back.out)).alias("pos", "x")).select(
+        "query_id", "pos", F.expr("substring(query, x.start, x.end - x.start + 1)").alias("name"), F.col("x.start").alias("start"))
+
+
 def mention_hybrid(found: DataFrame, trusted: DataFrame) -> DataFrame:
     """``trusted`` (query_id, words): names a tagger vouches for. Short names
     it does not know are dropped, unless that would leave nothing."""

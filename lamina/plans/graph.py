@@ -294,10 +294,38 @@ def mention_ngram(spark, sf):
     return K.mention_ngrams(load(spark, sf, "rq"), mentions(spark, sf))
 
 
-@query("mention_hybrid")
+SEG = f"""nm AS (SELECT m.mention AS name, sum(e.popularity + 1) AS n FROM kgm m JOIN ents e ON e.qid = m.qid WHERE length(m.mention) BETWEEN 1 AND 24 GROUP BY 1),
+ tot AS (SELECT sum(n) AS total FROM nm), pr AS (SELECT name, CAST(round(1000 * ln(total / n)) AS BIGINT) AS cost FROM nm, tot),
+ ss AS (SELECT query_id, i, w, substring(query, i, w) AS name FROM (SELECT query_id, query, w, unnest(range(1, length(query) - w + 2)) AS i FROM (SELECT query_id, query, unnest(range(1, least(24, length(query)) + 1)) AS w FROM rq))),
+ wd AS (SELECT query_id, i + w - 1 AS e, list({{'c': cost, 's': i, 'k': 1}}) AS l FROM ss JOIN pr USING (name) GROUP BY ALL),
+ ch AS (SELECT query_id, unnest(range(1, length(query) + 1)) AS e FROM rq),
+ lat_s AS (SELECT c.query_id, list(list_append(coalesce(l, []), {{'c': (SELECT CAST(round(1000 * ln(total)) AS BIGINT) + 1000 FROM tot), 's': c.e, 'k': 0}}) ORDER BY c.e) AS l
+   FROM ch c LEFT JOIN wd w ON w.query_id = c.query_id AND w.e = c.e GROUP BY c.query_id),
+ bst AS (SELECT query_id, list_reduce(list_prepend([{{'c': 0::BIGINT, 's': 0::BIGINT, 'k': 0}}], l), lambda acc, x: list_append(acc, list_min(list_transform(x, lambda h: {{'c': acc[h.s].c + h.c, 's': h.s, 'k': h.k}})))) AS b FROM lat_s),
+ walk_s(query_id, b, e, s, k) AS (SELECT query_id, b, len(b) - 1, b[len(b)].s, b[len(b)].k FROM bst UNION ALL SELECT query_id, b, s - 1, b[s].s, b[s].k FROM walk_s WHERE s > 1),
+ seg AS (SELECT w.query_id, row_number() OVER (PARTITION BY w.query_id ORDER BY w.e) - 1 AS pos, substring(r.query, w.s, w.e - w.s + 1) AS name, w.s AS start FROM walk_s w JOIN rq r USING (query_id) WHERE w.k = 1)"""
+
+
+def known_names(spark, sf):
+    """Every name with how often it is meant: the in-links of what it names, and one."""
+    e = entities(spark, sf).select("qid", "popularity")
+    return mentions(spark, sf).join(e, "qid").select(F.col("mention").alias("name"), (F.col("popularity") + 1).alias("n"))
+
+
+@query("mention_segment", sql(f"{ENTS}, {MENT}, {SEG}", *KG, "rq") + "SELECT query_id, CAST(pos AS INTEGER) AS pos, name, CAST(start AS INTEGER) AS start FROM seg")
+def mention_segment(spark, sf):
+    return K.segments(load(spark, sf, "rq").select("query_id", "query"), known_names(spark, sf))
+
+
+@query("mention_hybrid", sql(f"""{ENTS}, {MENT}, {NGRAM}, {SEG}, tw AS (SELECT query_id, list(name) AS words FROM seg GROUP BY query_id),
+ gd AS (SELECT f.query_id, f.pos, f.m.m AS mention, list_contains(coalesce(words, []), f.m.m) OR len(list_filter(coalesce(words, []), lambda t: length(t) >= 2 AND contains(f.m.m, t))) > 0 OR length(f.m.m) >= 3 AS good
+   FROM found f LEFT JOIN tw USING (query_id)), sm AS (SELECT query_id, bool_or(good) AS any_good FROM gd GROUP BY query_id)""", *KG, "rq") + """
+SELECT query_id, CAST(pos AS INTEGER) AS pos, mention FROM gd JOIN sm USING (query_id) WHERE good OR NOT any_good""")
 def mention_hybrid(spark, sf):
+    """Trusted words are the names in the most likely split of the question."""
     q = load(spark, sf, "rq")
-    trusted = q.select("query_id", F.split("query", " ").alias("words"))
+    words = K.segments(q.select("query_id", "query"), known_names(spark, sf))
+    trusted = words.groupBy("query_id").agg(F.collect_set("name").alias("words"))
     return K.mention_hybrid(K.mention_ngrams(q, mentions(spark, sf)), trusted)
 
 

@@ -42,5 +42,5 @@ def test_entry(spark):
 
 def test_every_query_has_a_check_or_is_listed():
     rows_only = set(catalog.QUERIES) - set(catalog.ORACLES)
-    assert rows_only == {"ivf_topk", "fit_platt", "rerank_cascade", "mention_hybrid", "kg_bfs_capped", "citation_spans", "render_sources",
+    assert rows_only == {"ivf_topk", "fit_platt", "rerank_cascade", "kg_bfs_capped", "citation_spans", "render_sources",
                          "format_tool_result", "result_json", "slim_sources", "iterative_retrieve", "parallel_entities", "vector_append", "layered_passages", "graph_topk", "graph_recall", "history_growth"}
