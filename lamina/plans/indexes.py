@@ -17,7 +17,7 @@ from lamina.sources.sinks import scratch_table
 # ---- neighbour graph ------------------------------------------------------------------
 
 #: The given vectors are random in 64 dimensions, the hardest kind for any index, so pools are large.
-GRAPH = {"k": 24, "ef": 256, "width": 32}
+GRAPH = {"k": 24, "rounds": 5, "ef": 256, "width": 64}
 
 
 def graph_hits(spark, sf):
@@ -25,7 +25,7 @@ def graph_hits(spark, sf):
     e = load(spark, sf, "embeddings")
     vectors = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("cv"))
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    graph = N.build(vectors, GRAPH["k"])
+    graph = N.build(vectors, GRAPH["k"], GRAPH["rounds"])
     return vectors, asked, N.search(graph, asked, X.L2_K, GRAPH["ef"], GRAPH["width"], exclude_same=True)
 
 
