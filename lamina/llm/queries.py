@@ -119,7 +119,49 @@ def op11_byte_bpe(spark, sf_dir):
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op12_turn_repair")
+def _more(state: str, cost: str, letter: str) -> str:
+    """A state (cost in six digits, then the audit) after one more edit."""
+    return f"(lpad(CAST(CAST(left({state}, 6) AS BIGINT) + {cost} AS VARCHAR), 6, '0') || substr({state}, 7) || {letter})"
+
+
+_STAYS = "CASE WHEN x[2] = 't' THEN 1 ELSE 0 END"
+
+
+def _edited(states: list[str], role: str) -> str:
+    """The least of keeping a row with this role, or giving it to it, after one of ``states``."""
+    ways = ", ".join(_more(s, f"(CASE WHEN x[1] = '{role}' THEN 0 ELSE 2 END + {_STAYS})", f"CASE WHEN x[1] = '{role}' THEN 'K' ELSE 'R' END") for s in states)
+    return f"CASE WHEN x[2] IN ('b', 'd') THEN NULL ELSE least({ways}, NULL) END"
+
+
+#: The cheapest edits row by row; states: nothing yet, after s, after u, after a.
+_REPAIR_STEP = f"""list_transform([[{_more('acc[1]', '3', "'D'")}, least({_more('acc[2]', '3', "'D'")}, CASE WHEN x[1] = 's' AND x[2] NOT IN ('b', 'd') THEN {_more('acc[1]', _STAYS, "'K'")} END),
+     least({_more('acc[3]', '3', "'D'")}, {_edited(['acc[1]', 'acc[2]', 'acc[4]'], 'u')}), least({_more('acc[4]', '3', "'D'")}, {_edited(['acc[3]'], 'a')})]],
+   lambda n: list_transform([[n[1], n[2], least(n[3], {_more('n[1]', '2', "'I'")}, {_more('n[2]', '2', "'I'")}, {_more('n[4]', '2', "'I'")}), n[4]]],
+     lambda m: [m[1], m[2], m[3], least(m[4], {_more('m[3]', '2', "'I'")})])[1])[1]"""
+
+
+@query("op12_turn_repair", f"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+  c1 AS (SELECT c0.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(k)), lambda i: CAST(unicode(substr(k, i + 1, 1)) AS BIGINT))),
+     lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 20 AS kind FROM c0, tab),
+  c2 AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+     unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM c1 WHERE kind <> 0),
+  c3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM c2),
+  c4 AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd' WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM c3),
+  g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+     count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before || ini NOT IN ('su', 'ua', 'au')) AS illegal, list([ini, fault] ORDER BY place) AS l FROM c4 GROUP BY conv_id),
+  r AS (SELECT * EXCLUDE (l), list_reduce(list_prepend(['000000', NULL, '000002I', '000004II'], l), lambda acc, x: {_REPAIR_STEP}) AS s FROM g),
+  e AS (SELECT *, substr(least(s[1], s[4]), 7) AS audit, CAST(left(least(s[1], s[4]), 6) AS BIGINT) AS cost FROM r),
+  u AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM e),
+  v AS (SELECT conv_id, i, substr(audit, i, 1) AS edit, length(replace(left(audit, i), 'I', '')) AS place, length(replace(left(audit, i), 'D', '')) - 1 AS n FROM u),
+  w AS (SELECT v.conv_id, v.i, v.edit, v.n, c4.role, c4.text, c4.ini FROM v LEFT JOIN c4 ON c4.conv_id IS NOT DISTINCT FROM v.conv_id AND c4.place = v.place WHERE edit <> 'D'),
+  y AS (SELECT *, max(CASE WHEN n = 0 AND edit = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM w),
+  z AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS h FROM y GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id""")
 def op12_turn_repair(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     return turn_repair.repair(turn_repair.damaged(conversations), conversations)
