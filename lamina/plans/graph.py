@@ -10,7 +10,8 @@ from lamina.operators import kg as K
 from lamina.operators import linking as L
 from lamina.operators.name_index import NameIndex
 from lamina.operators.ranking import ranked
-from lamina.sources.sinks import scratch_table
+from lamina.sources.readers import text_lines, triples_tsv
+from lamina.sources.sinks import scratch_table, write_lines
 from lamina.functions.vectors import doubles
 from lamina.plans.inputs import built, load, with_clause
 from lamina.plans.registry import arr, lit, query, tup
@@ -105,7 +106,7 @@ def sql(extra: str, *names: str) -> str:
 # ---- assembly ---------------------------------------------------------------------------
 
 ZH = "(lang = 'zh' OR lang LIKE 'zh%')"
-NT = rf"""raw AS (SELECT ord, regexp_extract(line, '^(.*?>) (.*?>) (.*) \.$', ['subj', 'pred', 'obj']) AS r FROM nt_lines
+NT = rf"""raw AS (SELECT ord, regexp_extract(line, '^(.*?>) (.*?>) (.*) \.$', ['subj', 'pred', 'obj']) AS r FROM (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, line FROM nt_lines)
    WHERE regexp_matches(line, '^.*?> .*?> .* \.$')),
  st0 AS (SELECT ord, regexp_extract(r.subj, '^<{X.RDF_ENTITY}(Q\d+)>$', 1) AS s, r.pred AS pred, r.obj AS obj,
    regexp_extract(r.pred, '^<{X.RDF_DIRECT}(P\d+)>$', 1) AS pid FROM raw),
@@ -120,8 +121,10 @@ NT = rf"""raw AS (SELECT ord, regexp_extract(line, '^(.*?>) (.*?>) (.*) \.$', ['
 
 
 def stmts(spark, sf):
-    """Both passes over the dump read the parsed statements, stored once."""
-    return built(spark, sf, "stmts", lambda: K.parse_ntriples(load(spark, sf, "nt_lines")))
+    """A dump in bzip2 files; both passes over it read the parsed statements, stored once."""
+    path = scratch_table(spark, "dump")
+    write_lines(load(spark, sf, "nt_lines"), path, "bzip2", "ord")
+    return built(spark, sf, "stmts", lambda: K.parse_ntriples(text_lines(spark, path)))
 
 
 @query("ntriples_parse", sql(NT, "nt_lines") + "SELECT ord, s, pid, t, lang, val FROM st")
@@ -148,13 +151,13 @@ def kg_triple_filter(spark, sf):
 
 @query("triples_scan", sql("", "kg_triples") + "SELECT s, p, o, v, t FROM kg_triples")
 def triples_scan(spark, sf):
-    """Through the tab-separated form: written as lines, read back as five fields."""
-    from lamina.sources.readers import parse_triple_lines
-
+    """Through tab-separated files: written as lines, read back as five fields."""
     t = triples(spark, sf)
     lines = t.select(F.concat_ws("\t", "s", "p", F.coalesce("o", F.lit("")), F.coalesce("v", F.lit("")), "t").alias("line"))
     bad = t.where(F.col("v").isNotNull()).select(F.concat_ws("\t", "s", "p", "v").alias("line"))
-    return parse_triple_lines(lines.unionByName(bad))
+    path = scratch_table(spark, "triples")
+    write_lines(lines.unionByName(bad), path)
+    return triples_tsv(spark, path)
 
 
 @query("kg_mentions", sql(MENT, "kg_mention_rows") + "SELECT * FROM kgm")

@@ -24,7 +24,7 @@ from lamina.plans.registry import lit, query
 from lamina.plans.rules import SLOTS_SQL, YEAR, sql_tier, sql_ttl
 from lamina.plans.texts import qa_norm, sql_norm
 from lamina.session import cut
-from lamina.sources import sinks
+from lamina.sources import readers, sinks
 from lamina.streaming import archive as AR
 from lamina.streaming import hold_back as HB
 
@@ -44,14 +44,19 @@ VIEWS = """vw AS (SELECT replace(string_split(line, ' ')[2], '_', ' ') AS title,
 
 @query("pageviews_agg", with_clause("view_lines", extra=VIEWS) + "SELECT title, CAST(sum(v) AS BIGINT) AS views FROM vw WHERE v IS NOT NULL GROUP BY title")
 def pageviews_agg(spark, sf):
-    return C.total_views(load(spark, sf, "view_lines").select("line"))
+    """The hourly files: gzip, one split each."""
+    path = sinks.scratch_table(spark, "views")
+    sinks.write_lines(load(spark, sf, "view_lines"), path, "gzip")
+    return C.total_views(readers.page_views(spark, path))
 
 
 @query("json_props_scan", """SELECT event_id, CASE WHEN event_id % 19 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events WHERE event_id % 19 <> 0""")
 def json_props_scan(spark, sf):
-    e = load(spark, sf, "events").withColumn("line", F.when(F.col("event_id") % 19 == 0, F.lit("{broken")).otherwise(F.col("props")))
-    j = e.select("event_id", F.from_json("line", "k int, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"))
-    return j.where(F.col("j._bad").isNull()).select("event_id", "j.k")
+    """JSON lines in files, every 19th of them broken."""
+    whole = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "), F.expr("substring(props, 2)"))
+    path = sinks.scratch_table(spark, "props")
+    sinks.write_lines(load(spark, sf, "events").select(F.when(F.col("event_id") % 19 == 0, F.lit("{broken")).otherwise(whole).alias("line")), path)
+    return readers.json_lines(spark, path, "event_id long, k int")
 
 
 @query("title_rank", with_clause("titles", extra=G.RANK) + "SELECT title, norm, views, rank FROM ranks")
@@ -309,16 +314,12 @@ def table_health(spark, sf):
 _E8 = R.EMB8
 SUBQ = f"""{R.ENT}, sq AS (SELECT e.query_id, i, es[i] || ' ' || q.query AS sub FROM (SELECT query_id, list_filter(entities, lambda e: e <> '') AS es, unnest(range(1, len(list_filter(entities, lambda e: e <> '')) + 1)) AS i FROM ent) e
    JOIN rq q USING (query_id) WHERE len(es) >= 2),
- dv AS (SELECT doc_id, text, {_E8.format(t='left(text, 512)')} AS v FROM documents), sv AS (SELECT *, {_E8.format(t='sub')} AS v FROM sq),
- dn AS (SELECT doc_id, text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM dv), sn AS (SELECT query_id, i, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM sv),
- sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, i ORDER BY score DESC, doc_id) AS rank FROM (SELECT s.query_id, s.i, d.doc_id, d.text, round(list_dot_product(s.v, d.v), 6) AS score FROM sn s, dn d)) WHERE rank <= 3)"""
-
-
-def sub_hits(spark, sf, subs):
-    """``subs`` (sid, sub): three nearest documents of each sub-question."""
-    q = subs.select(F.col("sid").alias("query_id"), VF.hash_embed8(F.col("sub")).alias("qv"))
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), VF.hash_embed8(F.substring("text", 1, 512)).alias("cv"))
-    return VS.exact_topk(q, d, 3)
+ cfd AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) >= 1), chr(10)) AS f FROM documents),
+ cnd AS (SELECT doc_id, f, unnest(range(0, CASE WHEN length(f) <= 512 THEN 1 ELSE CAST(ceil((length(f) - 512) / 448.0) AS BIGINT) + 1 END)) AS c FROM cfd WHERE f <> ''),
+ dv AS (SELECT doc_id, {_E8.format(t='chunk')} AS v FROM (SELECT doc_id, substring(f, c * 448 + 1, 512) AS chunk FROM cnd)), sv AS (SELECT *, {_E8.format(t='sub')} AS v FROM sq),
+ dn AS (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM dv), sn AS (SELECT query_id, i, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM sv),
+ sh AS (SELECT r.*, d.text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, i ORDER BY score DESC, doc_id) AS rank FROM
+   (SELECT s.query_id, s.i, d.doc_id, max(round(list_dot_product(s.v, d.v), 6)) AS score FROM sn s, dn d GROUP BY ALL)) r JOIN documents d USING (doc_id) WHERE rank <= 3)"""
 
 
 def chunk_vectors(docs):
@@ -337,7 +338,8 @@ def subquery_expand(spark, sf):
     e = R.ents(spark, sf).withColumn("es", F.filter("entities", lambda x: x != "")).where(F.size("es") >= 2)
     s = e.join(load(spark, sf, "rq").select("query_id", "query"), "query_id").select("query_id", "query", F.posexplode("es").alias("p", "e"))
     s = s.select((F.col("query_id") * 10 + F.col("p") + 1).alias("sid"), F.concat("e", F.lit(" "), "query").alias("sub"))
-    h = sub_hits(spark, sf, s).join(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("k")), "id")
+    vectors = chunk_vectors(load(spark, sf, "documents").select("doc_id", "text"))
+    h = chunk_hits(vectors, s).join(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("k")), "id")
     order = (F.col("query_id") % 10) * 10 + F.col("rank")
     g = h.groupBy(F.floor(F.col("query_id") / 10).alias("query_id"), "k").agg(F.min(order).alias("first"), F.min_by("id", order).alias("doc_id"))
     return g.select("query_id", F.col("first").cast("long").alias("first"), "doc_id")

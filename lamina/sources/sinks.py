@@ -28,6 +28,13 @@ def write_graph(triples: DataFrame, path: str) -> None:
     triples.write.mode("overwrite").partitionBy("p").parquet(path)
 
 
+def write_lines(lines: DataFrame, path: str, codec: str = "none", order: str | None = None) -> None:
+    """``lines`` (line) as text files; with ``order`` the files, by name, hold them in the order of that column."""
+    if order:
+        lines = lines.repartitionByRange(order).sortWithinPartitions(order)
+    lines.select("line").write.option("compression", codec).text(path)
+
+
 def whole_folders(spark: SparkSession, folder: str, marker: str = "_SUCCESS") -> list[str]:
     """Folders right below ``folder`` that hold ``marker`` ("." for all), in order of their names, through Spark's own file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs
