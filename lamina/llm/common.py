@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -148,3 +148,21 @@ def coalesce_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+#: Columns of documents that operators name; any other is carried along under a name that can't clash.
+OWN_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For ``fn(docs, ...)`` that returns rows with the columns of ``docs``: extra columns may have any name, also one
+    that ``fn`` uses itself or one with a dot. Columns that are named in the arguments keep theirs."""
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        kept = {*OWN_COLUMNS, *[a for a in (*args, *kwargs.values()) if isinstance(a, str)]}
+        safe = [n if n in kept else f"carried_{i}" for i, n in enumerate(docs.columns)]
+        back = dict(zip(safe, docs.columns))
+        out = fn(docs.toDF(*safe), *args, **kwargs)
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import carrying
+
 RATIO, LEAST_PAGES, SALTS = 0.1, 3, 16
 #: Parts of a page without text, and tags, each of which ends a line.
 _HIDDEN, _TAG = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", r"(?s)<[^>]*>"
@@ -62,6 +64,7 @@ def without_boilerplate(pages: DataFrame, host: str, lines: str, ratio: float =
     return out.withColumn("kept_lines", F.when(chars("_rest") * 2 >= chars(lines), F.col("_rest")).otherwise(F.col(lines))).drop("_s", "_host", "_dropped", "_salt", "_rest")
 
 
+@carrying
 def dedup_documents(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Documents with boilerplate lines of their ``host`` column taken out of ``text`` and ``n_chars`` brought up to date."""
     lined = docs.withColumn("_lines", F.split("text", "\n", -1))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lamina.llm.common import all_of, let, stored
+from lamina.llm.common import all_of, carrying, let, stored
 
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 #: Measures in per mille (higher is worse) and their least distance from the median.
@@ -113,6 +113,7 @@ def judged(docs: DataFrame, spread: int = SPREAD, least_rows: int = LEAST_ROWS)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"))
 
 
+@carrying
 def filtered(docs: DataFrame, spread: int = SPREAD, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source"))
