@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import line_dedup, near_dup, packing, quality, toxicity
-from lamina.llm.common import stored
+from lamina.llm.common import carrying, stored
 from lamina.session import ship
 
 #: Documents at or above this probability are rejected.
@@ -34,8 +34,13 @@ def stage(fn):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier learns from labelled rows of the training fold that are among ``docs``."""
     labels = toxicity.training_rows(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.with_score(docs, toxicity.train(docs, labels), "_toxic")
-    return scored.where(f"_toxic < {TOXIC}").select(*docs.columns)
+
+    @carrying
+    def kept(docs: DataFrame) -> DataFrame:
+        scored = toxicity.with_score(docs, toxicity.train(docs, labels), "_toxic")
+        return scored.where(f"_toxic < {TOXIC}").select(*docs.columns)
+
+    return kept(docs)
 
 
 @stage
