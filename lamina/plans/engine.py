@@ -29,7 +29,7 @@ def engine(spark, sf):
         return lambda questions: vector_of(spark, sf, questions.select("query_id")).join(rows.withColumnRenamed("query_id", "vec"), "vec")
 
     docs = load(spark, sf, "vec_docs").select("id", "title", "text")
-    wiki = R.knn(spark, sf).join(docs, "id").select("query_id", "rank", "id", "title", "text", "score")
+    wiki = R.doc_knn(spark, sf).join(docs, "id").select("query_id", "rank", "id", "title", "text", "score")
     old = R.history(spark, sf).select("query_id", "rank", "id", "title", "text", "score")
     pages = load(spark, sf, "pages").select("page_id", "url", F.trim(H.tag_text(F.col("html"), "title")).alias("title"))
     web = load(spark, sf, "web_log").join(pages, "page_id").select(
@@ -38,13 +38,13 @@ def engine(spark, sf):
     return Engine(layers, entries(spark, sf).where("seq % 2 = 0"), NOW, YEAR, qa_norm)
 
 
-ENGINE = f"""{R.KNN}, {R.HIST}, {ENTRY.replace('lat AS (', 'lat_ AS (').replace('WHERE write_ts <=', 'WHERE seq % 2 = 0 AND write_ts <=')},
+ENGINE = f"""{R.DOC_KNN}, {R.HIST}, {ENTRY.replace('lat AS (', 'lat_ AS (').replace('WHERE write_ts <=', 'WHERE seq % 2 = 0 AND write_ts <=')},
  q0 AS (SELECT turn_id AS query_id, query, coalesce(namespace || '::', '') || nq AS key, nq AS gkey, trim(query) IN ({CLOCK}) AS clock, {sql_wants('query')} AS forced, {sql_time('query')} AS fresh,
    turn_id % (SELECT count(*) FROM embeddings) AS vec FROM g),
  q1 AS (SELECT q.*, coalesce(o.seq, w.seq) AS seq, coalesce(o.answer, w.answer) AS cached FROM q0 q LEFT JOIN lat_ o ON o.key = q.key LEFT JOIN lat_ w ON w.key = q.gkey),
  q2 AS (SELECT *, CASE WHEN clock THEN 'tool' WHEN NOT forced AND cached IS NOT NULL AND {sql_tier('query', 'cached', '0')} NOT LIKE 'reject%' THEN 'cache' ELSE 'search' END AS route FROM q1),
  sq AS (SELECT * FROM q2 WHERE route = 'search'),
- off AS (SELECT s.query_id, 1 AS list_no, k.rank, 'L2_wiki' AS layer, CAST(k.id AS VARCHAR) AS id, d.title, d.text, '' AS url, k.score FROM sq s JOIN knn k ON k.query_id = s.vec JOIN vec_docs d ON d.id = k.id
+ off AS (SELECT s.query_id, 1 AS list_no, k.rank, 'L2_wiki' AS layer, CAST(k.id AS VARCHAR) AS id, d.title, d.text, '' AS url, k.score FROM sq s JOIN dk k ON k.query_id = s.vec JOIN vec_docs d ON d.id = k.id
    UNION ALL SELECT s.query_id, 2, h.rank, 'L3_history', CAST(h.id AS VARCHAR), left(h.query, 40), '历史问答：' || chr(10) || 'Q: ' || h.query || chr(10) || 'A: ' || h.answer, '', h.score FROM sq s JOIN l3h h ON h.query_id = s.vec),
  offc AS (SELECT *, round({R.cal('layer', 'score')}, 4) AS calibrated FROM off),
  oc AS (SELECT query_id, round(1 - list_reduce(list_prepend(1.0::DOUBLE, list(1 - calibrated ORDER BY calibrated DESC)[1:3]), lambda a, x: a * x), 4) AS conf FROM offc GROUP BY query_id),

@@ -121,10 +121,10 @@ _add("web_log", "\nUNION ALL\n".join(
     f"SELECT vec_id AS query_id, {i} AS pos, CAST((vec_id * 7 + {i * i * 3}) % (SELECT count(*) FROM pages) AS BIGINT) AS page_id FROM embeddings"
     for i in range(5)))
 
-# text behind a vector
+# every document with a vector: documents share vectors when there are fewer of these
 _add("vec_docs", """
-SELECT e.id, e.embedding, d.source AS title, d.text
-FROM (SELECT vec_id AS id, embedding, vec_id % (SELECT count(*) FROM documents) AS doc_id FROM embeddings) e JOIN documents d ON d.doc_id = e.doc_id
+SELECT d.id, d.vec_id, e.embedding, d.title, d.text
+FROM (SELECT doc_id AS id, doc_id % (SELECT count(*) FROM embeddings) AS vec_id, source AS title, text FROM documents) d JOIN embeddings e ON e.vec_id = d.vec_id
 """)
 
 # page-view lines, as the hourly files hold them

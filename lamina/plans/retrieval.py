@@ -40,6 +40,25 @@ KNN = f"""knn AS (SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM
    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= {X.L2_K})"""
 
 
+def doc_knn(spark, sf, k: int = X.L2_K):
+    """The k best documents per question. A vector that documents share is searched
+    once, and no more than its k first documents can be among the k best."""
+    e, docs = vecs(spark, sf), load(spark, sf, "vec_docs").select("id", "vec_id")
+    first = top_k(docs, ["vec_id"], [F.asc("id")], k)
+    used = e.join(docs.select("vec_id"), "vec_id", "left_semi")
+    near = VS.exact_topk(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")),
+                         used.select(F.col("vec_id").alias("id"), F.col("embedding").alias("cv")), k, exclude_same=True)
+    hits = near.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").alias("near")).join(first, "vec_id")
+    return top_k(hits, ["query_id"], [F.asc("near"), F.asc("id")], k, rank="rank").select("query_id", "id", "score", "rank")
+
+
+DOC_KNN = f"""vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS near FROM
+  (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id IN (SELECT vec_id FROM vec_docs))) WHERE near <= {X.L2_K}),
+ dk AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY near, id) AS INTEGER) AS rank
+   FROM vk JOIN vec_docs USING (vec_id)) WHERE rank <= {X.L2_K})"""
+
+
 def sig(x: str) -> str:
     return f"(CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-least({x}, 60))) ELSE exp(greatest({x}, -60)) / (1 + exp(greatest({x}, -60))) END)"
 
@@ -165,8 +184,8 @@ def minmax_norm(spark, sf):
 # ---- passages for fusion ------------------------------------------------------------------
 
 # the nearest vectors as one list, the same hits by number as a second, web results as a third
-PASS = f"""{KNN}, page_text AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, html FROM pages),
- l2 AS (SELECT k.query_id, 1 AS list_no, k.rank, 'L2_wiki' AS layer, k.id, d.title, d.text, '' AS url, k.score FROM knn k JOIN vec_docs d USING (id)),
+PASS = f"""{DOC_KNN}, page_text AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, html FROM pages),
+ l2 AS (SELECT k.query_id, 1 AS list_no, k.rank, 'L2_wiki' AS layer, k.id, d.title, d.text, '' AS url, k.score FROM dk k JOIN vec_docs d USING (id)),
  l3 AS (SELECT query_id, 2 AS list_no, rank, 'L3_history' AS layer, id, title, text, url, score FROM
    (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS rank FROM l2) WHERE rank <= 5),
  l4 AS (SELECT w.query_id, 4 AS list_no, w.pos + 1 AS rank, 'L4_web' AS layer, p.page_id AS id, p.title, p.title AS text, p.url, 1 - 0.05 * w.pos AS score
@@ -189,7 +208,7 @@ def web_list(spark, sf):
 
 
 def three_lists(spark, sf):
-    h = cut(knn(spark, sf)).join(load(spark, sf, "vec_docs").select("id", "title", "text"), "id")  # two lists read the hits
+    h = cut(doc_knn(spark, sf)).join(load(spark, sf, "vec_docs").select("id", "title", "text"), "id")  # two lists read the hits
     l2 = LY.passages(h, "L2_wiki")
     l3 = LY.passages(top_k(h.drop("rank"), ["query_id"], [F.desc("id")], 5, rank="rank"), "L3_history")
     return l2.unionByName(l3).unionByName(web_list(spark, sf))
@@ -287,8 +306,10 @@ def rerank_rrf(spark, sf):
 def rerank_cascade(spark, sf):
     from lamina.operators.linking import bigram_overlap
 
-    d = _by_source(spark, sf).withColumn("rerank_score", F.lit(None).cast("double"))
-    d = d.join(load(spark, sf, "vec_docs").select("id", "text"), "id").join(load(spark, sf, "rq").select("query_id", "query"), "query_id")
+    docs = load(spark, sf, "vec_docs").select("id", "vec_id", "text")
+    h = doc_knn(spark, sf).join(docs, "id").join(vecs(spark, sf).select("vec_id", F.col("label").alias("source")), "vec_id")
+    d = U.rank_in_source(h, ["query_id", "source"], [F.desc("score"), F.asc("id")], X.L2_K).withColumn("rerank_score", F.lit(None).cast("double"))
+    d = d.join(load(spark, sf, "rq").select("query_id", "query"), "query_id")
     return U.rerank_cascade(d, lambda q, t: bigram_overlap(q, t), 5).select("query_id", "id", "rerank_score")
 
 
@@ -405,13 +426,13 @@ def cov_sql(queries: str, docs: str) -> str:
 
 
 # first words of the nearest texts, so that some questions are covered and some are not
-BEN = f"""{KNN}, bq AS (SELECT k.query_id, regexp_replace(left(d.text, 60), '[^A-Za-z0-9 ]', ' ', 'g') || ' xenon' AS query FROM knn k JOIN vec_docs d USING (id) WHERE rank = 1),
- bd AS (SELECT k.query_id, k.rank AS ord, d.title, d.text FROM knn k JOIN vec_docs d USING (id) WHERE rank > CASE WHEN k.query_id % 2 = 0 THEN 0 ELSE 1 END)"""
+BEN = f"""{DOC_KNN}, bq AS (SELECT k.query_id, regexp_replace(left(d.text, 60), '[^A-Za-z0-9 ]', ' ', 'g') || ' xenon' AS query FROM dk k JOIN vec_docs d USING (id) WHERE rank = 1),
+ bd AS (SELECT k.query_id, k.rank AS ord, d.title, d.text FROM dk k JOIN vec_docs d USING (id) WHERE rank > CASE WHEN k.query_id % 2 = 0 THEN 0 ELSE 1 END)"""
 
 
 @query("term_coverage", with_clause("vec_docs", extra=BEN + ", " + cov_sql("bq", "bd")) + "SELECT query_id, CAST(coverage AS DOUBLE) AS coverage, array_to_string(missing, '|') AS missing FROM cov")
 def term_coverage(spark, sf):
-    h = knn(spark, sf).join(load(spark, sf, "vec_docs").select("id", "title", "text"), "id")
+    h = doc_knn(spark, sf).join(load(spark, sf, "vec_docs").select("id", "title", "text"), "id")
     q = h.where("rank = 1").select("query_id", F.concat(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z0-9 ]", " "), F.lit(" xenon")).alias("query"))
     docs = h.where((F.col("query_id") % 2 == 0) | (F.col("rank") > 1)).withColumnRenamed("rank", "pos")
     return V.term_coverage(q, docs).withColumn("missing", F.array_join("missing", "|"))
@@ -458,9 +479,9 @@ def l3_history_search(spark, sf):
 
 WEB_TXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'),
   '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
-ALL = f"""{KNN}, {G.DIS_ALL.replace('knn AS', 'knn_ AS')}, {G.CTX}, {G.E2E.format(k=3)}, {HIST},
+ALL = f"""{DOC_KNN}, {G.DIS_ALL}, {G.CTX}, {G.E2E.format(k=3)}, {HIST},
  page_text AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {WEB_TXT} AS text FROM pages),
- off AS (SELECT k.query_id, 1 AS list_no, k.rank, 'L2_wiki' AS layer, CAST(k.id AS VARCHAR) AS id, d.title, d.text, '' AS url, k.score FROM knn k JOIN vec_docs d USING (id)
+ off AS (SELECT k.query_id, 1 AS list_no, k.rank, 'L2_wiki' AS layer, CAST(k.id AS VARCHAR) AS id, d.title, d.text, '' AS url, k.score FROM dk k JOIN vec_docs d USING (id)
    UNION ALL SELECT query_id, 2, rank, 'L3_history', CAST(id AS VARCHAR), left(query, 40), '历史问答：' || chr(10) || 'Q: ' || query || chr(10) || 'A: ' || answer, '', score FROM l3h
    UNION ALL SELECT p.query_id, 3, p.e_pos, 'L5_kg', p.qid, p.label_zh, c.text, '', p.final FROM picked p JOIN ctx c ON c.qid = p.qid WHERE c.text <> ''),
  offc AS (SELECT *, round({cal('layer', 'score')}, 4) AS calibrated FROM off),
@@ -476,7 +497,7 @@ ALL = f"""{KNN}, {G.DIS_ALL.replace('knn AS', 'knn_ AS')}, {G.CTX}, {G.E2E.forma
 
 def layer_frames(spark, sf):
     q = load(spark, sf, "rq")
-    h = knn(spark, sf).join(load(spark, sf, "vec_docs").select("id", "title", "text"), "id").withColumn("id", F.col("id").cast("string"))
+    h = doc_knn(spark, sf).join(load(spark, sf, "vec_docs").select("id", "title", "text"), "id").withColumn("id", F.col("id").cast("string"))
     l2 = LY.passages(h, "L2_wiki")
     l3 = LY.passages(history(spark, sf).withColumn("id", F.col("id").cast("string")), "L3_history")
     kg = G.picked(spark, sf, X.L5_K).join(G.contexts(spark, sf).select("qid", "text"), "qid").where(F.col("text") != "")

@@ -9,6 +9,7 @@ from lamina.operators import corpus as C
 from lamina.operators import diversify as D
 from lamina.operators import fusion as U
 from lamina.operators import vectors as V
+from lamina.plans import retrieval as R
 
 
 def vectors(n, d=16, seed=1):
@@ -43,6 +44,21 @@ def test_inverted_lists_find_most_and_all_when_every_list_is_probed(spark):
     assert full == want and len(some & want) / len(want) > 0.5
 
 
+def test_every_document_can_be_found_also_when_documents_share_vectors(spark, tmp_path):
+    for vectors_n, docs_n in ((6, 15), (9, 4)):
+        sf, m = str(tmp_path / f"{vectors_n}"), vectors(vectors_n, seed=7)
+        frames(spark, m, "vec_id", "embedding").write.parquet(f"{sf}/embeddings.parquet")
+        spark.range(docs_n).selectExpr("id AS doc_id", "concat('t', id) AS text", "'s' AS source").write.parquet(f"{sf}/documents.parquet")
+        f = m.astype(np.float32).astype(np.float64)
+        want = set()
+        for q in range(vectors_n):
+            best = sorted((-round(float(f[q] @ f[d % vectors_n]), 6), d % vectors_n, d) for d in range(docs_n) if d % vectors_n != q)
+            want |= {(q, d, k + 1) for k, (_, _, d) in enumerate(best[:4])}
+        got = {(r.query_id, r.id, r["rank"]) for r in R.doc_knn(spark, sf, 4).collect()}
+        assert got == want
+    assert {d for _, d, _ in {(r.query_id, r.id, 0) for r in R.doc_knn(spark, str(tmp_path / "6"), 20).collect()}} == set(range(15))
+
+
 def passage(q, lst, rank, title, layer="L2_wiki", url="", cal=0.5):
     return (q, lst, rank, layer, title, "text " + title, url, cal)
 
