@@ -35,6 +35,38 @@ def test_grid_search_equals_brute_force_for_every_block_size(spark):
     assert "CartesianProduct" not in got._jdf.queryExecution().toString()
 
 
+def test_few_products_are_rounded_and_blocks_grow(spark, monkeypatch):
+    """Of 400 x 20,000 products only those near the best are rounded; 200,000 short vectors make eight blocks, not 25."""
+    import pyarrow as pa
+
+    c, q, rounded = vectors(20_000, 8, 11), vectors(400, 8, 12), []
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(range(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+    ids = np.arange(20_000) // 3  # chunks of documents
+    monkeypatch.setattr(V.np, "round", lambda x, d, plain=np.round: rounded.append(np.size(x)) or plain(x, d))
+    got = V._score_cell(3, False, 6, True)(pa.table({"query_id": pa.array(range(400)), "qv": lists(q)}), pa.table({"id": pa.array(ids), "cv": lists(c)})).to_pylist()
+    monkeypatch.undo()
+    s = np.maximum.reduceat(np.round(q @ c.T, 6), np.arange(0, 20_000, 3), axis=1)
+    assert {(r["query_id"], r["id"]) for r in got} == {(i, int(j)) for i in range(400) for j in np.lexsort((np.arange(s.shape[1]), -s[i]))[:3]}
+    assert sum(rounded) < 400 * 20_000 / 100
+    many = spark.range(200_000).select("id", F.array(*[F.lit(1.0)] * 8).alias("cv"))
+    plan = V.exact_topk(spark.range(1).select(F.col("id").alias("query_id"), F.array(*[F.lit(1.0)] * 8).alias("qv")), many, 2)
+    assert [(r.id, r["rank"]) for r in plan.orderBy("rank").collect()] == [(0, 1), (1, 2)]
+    assert V.SIDE == 8 and V.MOST > V.BLOCK
+
+
+def test_chunks_of_a_long_text_are_cut_in_one_pass(spark):
+    """Starts counted from the front would cost the square of the length."""
+    import time
+
+    text = "".join(chr(0x4E00 + i % 5000) for i in range(1_000_000))
+    d = spark.createDataFrame([(1, text), (2, "ab"), (3, ""), (4, None)], "doc_id long, text string")
+    t = time.time()
+    got = {(r.doc_id, r.chunk_idx): r.chunk for r in C.chunks(d, size=16, overlap=4, min_para=1).collect()}
+    assert time.time() - t < 40
+    assert {k: v for k, v in got.items() if k[0] != 1} == {(2, 0): "ab"}
+    assert len(got) == 2 + -(-(1_000_000 - 16) // 12) and all(v == text[i * 12:i * 12 + 16] for (doc, i), v in got.items() if doc == 1)
+
+
 def test_inverted_lists_find_most_and_all_when_every_list_is_probed(spark):
     c = vectors(300, seed=5)
     q = frames(spark, c[:40], "query_id", "qv")
