@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lamina import fixed as X
 from lamina.functions import slots as S
 from lamina.operators import vectors as V
-from lamina.operators.ranking import first_per_key
+from lamina.operators.ranking import first_per_key, top_k
 
 
 def latest(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,12 +41,28 @@ def with_fallback(asks: DataFrame, entries: DataFrame, now: int) -> DataFrame:
     return glob.select("ask_id", "query", F.coalesce("own", "answer").alias("answer"), F.coalesce("own_entry", "entry").alias("entry"))
 
 
-def fuzzy(asks: DataFrame, entries: DataFrame, now: int, threshold: float = X.FUZZY_THRESHOLD, k: int = X.FUZZY_CANDIDATES) -> DataFrame:
+def nearest_shared(asks: DataFrame, entries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``asks`` (query_id, vec_id) and ``entries`` (id, vec_id) that name rows of ``vectors`` (vec_id, embedding): the k
+    most similar entries of each ask (query_id, id, score, rank). A vector is searched once however many name it. It
+    is found under its smallest entry, so that of equal vectors none is left out whose entries come before others',
+    and of its entries no more than the first k can be found. An entry's id has one vector."""
+    used = lambda d: vectors.join(d.select("vec_id"), "vec_id", "left_semi")
+    lead = entries.groupBy("vec_id").agg(F.min("id").alias("lead"))
+    near = V.exact_topk(used(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")),
+                        vectors.join(lead, "vec_id").select(F.col("lead").alias("id"), F.col("embedding").alias("cv")), k)
+    first = top_k(entries, ["vec_id"], [F.asc("id")], k).join(lead, "vec_id").select("lead", "id")
+    rows = near.select(F.col("query_id").alias("vec_id"), F.col("id").alias("lead"), "score").join(first, "lead")
+    best = top_k(rows.select("vec_id", "id", "score"), ["vec_id"], [F.desc("score"), F.asc("id")], k)
+    return top_k(asks.join(best, "vec_id").drop("vec_id"), ["query_id"], [F.desc("score"), F.asc("id")], k, rank="rank")
+
+
+def fuzzy(asks: DataFrame, entries: DataFrame, now: int, threshold: float = X.FUZZY_THRESHOLD, k: int = X.FUZZY_CANDIDATES,
+          hits: DataFrame | None = None) -> DataFrame:
     """``asks`` (query_id, query, namespace, qv), ``entries`` (id, query,
     namespace, answer, cv, write_ts, ttl). The first of the k most similar
     entries that is close enough, of the same tenant, about the same thing and
-    still live."""
-    hits = V.exact_topk(asks.select("query_id", "qv"), entries.select("id", "cv"), k)
+    still live. ``hits`` (query_id, id, score, rank): the k most similar, if they are known."""
+    hits = V.exact_topk(asks.select("query_id", "qv"), entries.select("id", "cv"), k) if hits is None else hits
     a = asks.select("query_id", F.col("namespace").alias("ns"), S.slots(F.col("query")).alias("sa"))
     e = entries.select("id", "namespace", "answer", "write_ts", "ttl", S.slots(F.col("query")).alias("se"))
     j = hits.where(F.col("score") >= threshold).join(a, "query_id").join(e, "id")

@@ -153,13 +153,14 @@ FUZ = f"""{ENTRY}, ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM e
 
 @query("cache_fuzzy", with_clause("turns", extra=FUZ) + "SELECT query_id, arg_min(seq, rank) AS id, arg_min(score, rank) AS score FROM okf GROUP BY query_id")
 def cache_fuzzy(spark, sf):
+    """Questions and entries have the vectors of their numbers; each vector is searched once, and its questions share what was found."""
     e = load(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.agg(F.count(F.lit(1)).alias("n_vec"))  # one row
-    en = entries(spark, sf).join(F.broadcast(n)).withColumn("vec_id", F.col("seq") % F.col("n_vec")).join(e, "vec_id")
-    en = cut(en.select(F.col("seq").alias("id"), "query", "namespace", "answer", "write_ts", "ttl", F.col("embedding").alias("cv")))
-    asked = load(spark, sf, "turns").join(F.broadcast(n)).withColumn("vec_id", F.col("turn_id") % F.col("n_vec"))
-    q = asked.join(e, "vec_id").select(F.col("turn_id").alias("query_id"), "query", "namespace", F.col("embedding").alias("qv"))
-    return CA.fuzzy(q, en, NOW, threshold=0.3).select("query_id", "id", "score")
+    en = entries(spark, sf).join(F.broadcast(n)).withColumn("vec_id", F.col("seq") % F.col("n_vec"))
+    en = cut(en.select("vec_id", F.col("seq").alias("id"), "query", "namespace", "answer", "write_ts", "ttl"))
+    q = load(spark, sf, "turns").join(F.broadcast(n)).withColumn("vec_id", F.col("turn_id") % F.col("n_vec")).select("vec_id", F.col("turn_id").alias("query_id"), "query", "namespace")
+    hits = CA.nearest_shared(q.select("query_id", "vec_id"), en.select("id", "vec_id"), e, X.FUZZY_CANDIDATES)
+    return CA.fuzzy(q, en, NOW, threshold=0.3, hits=hits).select("query_id", "id", "score")
 
 
 UPS = """b AS (SELECT turn_id, 'k' || turn_id AS key, answer FROM turns), c AS (SELECT 'k' || turn_id AS key, 'v2 ' || answer FROM turns WHERE turn_id % 4 = 0

@@ -54,6 +54,21 @@ def test_few_products_are_rounded_and_blocks_grow(spark, monkeypatch):
     assert V.SIDE == 8 and V.MOST > V.BLOCK
 
 
+def test_vectors_shared_by_entries_are_searched_once(spark):
+    """Same hits as searching every entry's own vector, equal vectors under several numbers included."""
+    from lamina.operators import cache as CA
+
+    m = vectors(12, 4, seed=9)
+    m[7] = m[3]
+    e = frames(spark, m, "vec_id", "embedding")
+    asks = spark.createDataFrame([(i, i % 12) for i in range(60)], "query_id long, vec_id long")
+    entries = spark.createDataFrame([(i, (i * 5) % 12) for i in range(1, 90, 2)], "id long, vec_id long")
+    want = V.exact_topk(asks.join(e, "vec_id").select("query_id", F.col("embedding").alias("qv")), entries.join(e, "vec_id").select("id", F.col("embedding").alias("cv")), 10)
+    got = CA.nearest_shared(asks, entries, e, 10)
+    rows = lambda d: {(r.query_id, r.id, r.score, r["rank"]) for r in d.collect()}
+    assert rows(got) == rows(want) and got.count() == 600
+
+
 def test_chunks_of_a_long_text_are_cut_in_one_pass(spark):
     """Starts counted from the front would cost the square of the length."""
     import time
