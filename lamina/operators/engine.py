@@ -41,13 +41,17 @@ from lamina.session import cut
 #: Columns of questions that layers get, and of what they return (``url``, ``hop`` and ``elapsed`` may be missing).
 QUESTION = ["query_id", "query", "search", "namespace"]
 FOUND = ["query_id", "rank", "id", "title", "text", "score"]
+#: Characters of a text that fusion looks at.
+HEAD = 80
 
 
 @dataclass(frozen=True)
 class Layer:
     """``search``: questions (``QUESTION``) to passages (``FOUND``), at most ``k`` a question by ``rank``. ``number``: its
     place among lists of equal rank. ``curve``: slope and middle of its calibration, by default those fixed for its name.
-    ``budget_s``: passages with a greater ``elapsed`` don't count. ``online`` layers are asked only when needed."""
+    ``budget_s``: passages with a greater ``elapsed`` don't count. ``online`` layers are asked only when needed.
+    ``texts`` (id, title, text and perhaps url): a layer of long texts that many questions find gives them here, and
+    ``search`` returns rows without them. Passages then carry the first characters and meet the text where it is used."""
 
     name: str
     number: int
@@ -56,17 +60,26 @@ class Layer:
     k: int = 8
     curve: tuple[float, float] | None = None
     budget_s: float | None = None
+    texts: DataFrame | None = None
+
+    def referred(self) -> DataFrame:
+        """``texts`` with a name for each, ``ref``."""
+        ref = F.concat_ws(":", F.lit(self.name), F.col("id").cast("string"), F.hex(F.xxhash64("title", "text")))
+        return self.texts.withColumn("ref", ref)
 
     def passages(self, questions: DataFrame) -> DataFrame:
         d = self.search(questions)
+        if self.texts is not None:
+            d = d.where(F.col("rank") <= self.k).join(self.referred().withColumn("text", F.substring("text", 1, HEAD)), "id")
         if self.budget_s is not None and "elapsed" in d.columns:
             d = d.where(F.col("elapsed") <= self.budget_s)
         a, b = (F.lit(float(x)) for x in self.curve) if self.curve else (None, None)
         p = P.calibrate(F.lit(self.name), F.col("score"), F.col("hop") if "hop" in d.columns else None, a, b)
         d = d.where(F.col("rank") <= self.k).withColumns({
             "layer": F.lit(self.name), "list_no": F.lit(self.number), "id": F.col("id").cast("string"), "score": F.col("score").cast("double"), "rank": F.col("rank").cast("int"),
-            "url": F.coalesce("url", F.lit("")) if "url" in d.columns else F.lit(""), "calibrated": F.round(p, 4)})
-        return d.select(*PASSAGE)
+            "url": F.coalesce("url", F.lit("")) if "url" in d.columns else F.lit(""), "calibrated": F.round(p, 4),
+            "ref": F.col("ref") if self.texts is not None else F.lit(None).cast("string")})
+        return d.select(*PASSAGE, "ref")
 
 
 def quoting(evidence: DataFrame) -> DataFrame:
@@ -108,6 +121,19 @@ class Engine:
         search = F.when(F.col("forced"), A.strip_directive(F.col("query"))).otherwise(F.col("query"))
         return cut(q.join(hits, "query_id", "left").withColumn("route", route).withColumn("search", search).drop("key", "global_key"))
 
+    def texts(self) -> DataFrame | None:
+        """``ref``, ``title`` and ``text`` of all layers that keep them apart."""
+        some = [x.referred().select("ref", "title", "text") for x in self.layers if x.texts is not None]
+        return reduce(DataFrame.unionByName, some) if some else None
+
+    def whole(self, passages: DataFrame) -> DataFrame:
+        """``passages`` with their whole texts."""
+        texts = self.texts()
+        if texts is None:
+            return passages.drop("ref")
+        t = texts.dropDuplicates(["ref"]).select("ref", F.col("text").alias("_text"))
+        return passages.join(t, "ref", "left").withColumn("text", F.coalesce("_text", "text")).drop("ref", "_text")
+
     def found(self, questions: DataFrame, online: bool) -> DataFrame:
         some = [x.passages(questions) for x in self.layers if x.online == online]
         return cut(reduce(DataFrame.unionByName, some))  # a few rows per question
@@ -120,7 +146,7 @@ class Engine:
         seen = asked.select(*QUESTION)
         off = self.found(seen, online=False)
         sure = P.noisy_or(off).withColumnRenamed("confidence", "offline")
-        cov = V.term_coverage(seen.select("query_id", F.col("search").alias("query")), off.select("query_id", F.struct("list_no", "rank").alias("pos"), "title", "text"))
+        cov = V.term_coverage(seen.select("query_id", F.col("search").alias("query")), off.select("query_id", F.struct("list_no", "rank").alias("pos"), "title", "text", "ref"), self.texts())
         some = off.select("query_id").distinct().withColumn("some", F.lit(True))
         flags = asked.select("query_id", "forced", "fresh").join(sure, "query_id", "left").join(cov, "query_id", "left").join(some, "query_id", "left")
         flags = flags.withColumn("coverage", F.when(F.col("some"), F.col("coverage")).otherwise(0.0)).withColumn("offline", F.coalesce("offline", F.lit(0.0)))
@@ -131,14 +157,15 @@ class Engine:
         if self.diversify:
             best = D.diversify(best.withColumn("embedding", F.array().cast("array<double>")), self.k)
         best = cut(best)
-        self.parts = {"routed": routed, "offline": off, "passages": passages, "evidence": best, "flags": flags}
+        evidence = self.whole(best)
+        self.parts = {"routed": routed, "offline": self.whole(off), "passages": self.whole(passages), "evidence": evidence, "flags": flags}
         counts = passages.groupBy("query_id").agg(*[F.count_if(F.col("layer") == x.name).alias(f"n_{x.name}") for x in self.layers])
         state = flags.join(P.noisy_or(passages), "query_id", "left").join(counts, "query_id", "left").fillna(0, [f"n_{x.name}" for x in self.layers]).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         state = state.withColumn("low_evidence", F.col("confidence") < X.ABSTAIN_CONFIDENCE)
-        blocks = EV.evidence_block(best)
+        blocks = EV.evidence_block(evidence)
         messages = asked.select("query_id", "query", "forced").join(state.select("query_id", "low_evidence"), "query_id").join(blocks, "query_id", "left").select(
             "query_id", EV.user_message(F.col("query"), F.coalesce("block", F.lit("")), F.col("low_evidence"), F.col("forced")).alias("message"))
-        made = cut((self.answer or (lambda m, e: quoting(e)))(messages, best).select("query_id", F.col("answer").alias("made")))
+        made = cut((self.answer or (lambda m, e: quoting(e)))(messages, evidence).select("query_id", F.col("answer").alias("made")))
         cites = AN.validate(AN.citations(made, "query_id", "made"), best.select("query_id", F.col("pos").alias("source_id")), "query_id")
         audit = cites.groupBy("query_id").agg(F.countDistinct(F.when(F.col("valid"), F.col("source_id"))).alias("n_cited"), F.count_if(~F.col("valid")).alias("n_invalid"))
         online = [f"n_{x.name}" for x in self.layers if x.online]

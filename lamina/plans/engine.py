@@ -29,12 +29,12 @@ def engine(spark, sf):
         return lambda questions: vector_of(spark, sf, questions.select("query_id")).join(rows.withColumnRenamed("query_id", "vec"), "vec")
 
     docs = load(spark, sf, "vec_docs").select("id", "title", "text")
-    wiki = R.doc_knn(spark, sf).join(docs, "id").select("query_id", "rank", "id", "title", "text", "score")
+    wiki = R.doc_knn(spark, sf).select("query_id", "rank", "id", "score")
     old = R.history(spark, sf).select("query_id", "rank", "id", "title", "text", "score")
     pages = load(spark, sf, "pages").select("page_id", "url", F.trim(H.tag_text(F.col("html"), "title")).alias("title"))
     web = load(spark, sf, "web_log").join(pages, "page_id").select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("page_id").alias("id"), "title", F.col("title").alias("text"), "url", (1.0 - X.RANK_STEP * F.col("pos")).alias("score"))
-    layers = [Layer("L2_wiki", 1, by_vector(wiki)), Layer("L3_history", 2, by_vector(old), k=X.L3_K), Layer("L4_web", 4, by_vector(web), online=True)]
+    layers = [Layer("L2_wiki", 1, by_vector(wiki), texts=docs), Layer("L3_history", 2, by_vector(old), k=X.L3_K), Layer("L4_web", 4, by_vector(web), online=True)]
     return Engine(layers, entries(spark, sf).where("seq % 2 = 0"), NOW, YEAR, qa_norm)
 
 

@@ -94,3 +94,18 @@ def test_awkward_questions(spark, run):
     rows = e.run(questions(spark, [(1, None, None), (2, "", None), (3, "  ", "u:1"), (4, "capital of peru lima quito", None), (None, "nobody", None)])).collect()
     assert len(rows) == 5 and {r.query_id: r.route for r in rows if r.query_id == 4} == {4: "search"}
     assert e.run(questions(spark, [])).count() == 0
+
+
+def test_long_texts_are_met_by_reference(spark):
+    """A layer that keeps its texts apart gives the same run, and its passages carry only their beginnings."""
+    long = "capital of peru lima " + "x " * 400 + "quito"
+    rows = [(q, r, f"title {r}", long + str(r), 0.9) for q in (2, 4, 5) for r in (1, 2)]
+    asked = questions(spark, [(2, "capital of peru lima quito", None), (4, "capital of peru lima quito", None), (5, "bogota or caracas or sucre", None)])
+    inline = layer(spark, "L2_wiki", 1, rows)
+    texts = spark.createDataFrame([(f"L2_wiki{r}", f"title {r}", long + str(r)) for r in (1, 2)], "id string, title string, text string")
+    apart = Layer("L2_wiki", 1, lambda q: inline.search(q).drop("title", "text"), texts=texts)
+    runs = [Engine([x], cache(spark, []), NOW, 2023, norm) for x in (inline, apart)]
+    got = [sorted(map(tuple, e.run(asked).collect()), key=lambda r: r[0]) for e in runs]
+    assert got[0] == got[1] and len(got[0]) == 3
+    assert max(len(r.text) for r in apart.passages(asked).collect()) == 80
+    assert {r.text for r in runs[1].parts["evidence"].collect()} == {long + "1", long + "2"}
