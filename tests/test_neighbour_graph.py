@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.operators import neighbour_graph as N
@@ -112,3 +113,15 @@ def test_query_finds_nine_of_ten(spark):
 
     rows = E.queries()["graph_recall"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 5 and sum(r.n_found for r in rows) >= 0.9 * sum(r.n_exact for r in rows) > 0
+
+
+def test_few_groups_are_introduced_at_a_time():
+    r = np.random.default_rng(5)
+    groups = [[{"m": int(i), "fresh": True, "floor": -2.0e9, "cv": v.tolist()} for i, v in zip(r.choice(1000, 6, replace=False), r.normal(size=(6, 4)).astype(np.float32))] for _ in range(3 * N.MEET + 1)]
+    kind = pa.list_(pa.struct([("m", pa.int64()), ("fresh", pa.bool_()), ("floor", pa.float64()), ("cv", pa.list_(pa.float32()))]))
+    out = list(N._met(iter([pa.RecordBatch.from_pydict({"g": pa.array(groups, kind)})]), 4, 6))
+    assert len(out) == 4 and max(b.num_rows for b in out) <= N.MEET * 6 * 5
+    want = [(a["m"], b["m"], round(float(np.dot(np.float64(a["cv"]), np.float64(b["cv"]))), 6)) for g in groups for a in g for b in g if a["m"] != b["m"]]
+    got = [(x["id"], x["nid"], x["score"]) for b in out for x in b.to_pylist()]
+    assert [w[:2] for w in want] == [g[:2] for g in got]
+    assert np.allclose([w[2] for w in want], [g[2] for g in got], atol=2e-6)
