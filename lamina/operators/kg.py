@@ -334,10 +334,12 @@ def specific_first(found: DataFrame, generic: DataFrame, drop: bool = False) ->
 
 
 def labelled(triples: DataFrame, entities: DataFrame, properties: DataFrame) -> DataFrame:
-    """Predicate and object labels; the predicate table is the fixed whitelist."""
-    names = entities.select(F.col("qid").alias("o"), F.col("label_zh").alias("o_label"))
+    """Predicate and object labels; the predicate table is the fixed whitelist.
+    Triples without an object, a large part of all, are dealt out by their other columns."""
+    names = entities.select(F.col("qid").alias("_qid"), F.col("label_zh").alias("o_label"))
+    key = F.coalesce("o", F.concat(F.lit("\0"), F.xxhash64("s", "p", "v").cast("string")))
     return (triples.join(F.broadcast(properties.select(F.col("pid").alias("p"), F.col("label_zh").alias("p_label"))), "p", "left")
-            .join(names, "o", "left")
+            .join(names, (key == F.col("_qid")) & F.col("o").isNotNull(), "left").drop("_qid")
             .withColumn("object_label", F.coalesce("o_label", "v")))
 
 

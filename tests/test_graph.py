@@ -113,3 +113,24 @@ def test_opposite_contexts_choose_different_entities(spark):
     a = spark.createDataFrame([(1, "n", "谁提出了定律的科学家"), (2, "n", "一个单位等于多少")], "query_id int, mention string, query string")
     got = {r.query_id: r.qid for r in L.disambiguate(a, c, tri, 1).collect()}
     assert got == {1: "p", 2: "u"}
+
+
+def test_triples_without_object_are_dealt_out(spark):
+    rows = [(f"s{i}", "P577", None, f"v{i}", "time") for i in range(400)] + [("s1", "P31", "Q5", None, "entity"), ("s2", "P31", "Q9", None, "entity"), ("s3", "P9", None, None, "time")]
+    t = spark.createDataFrame(rows, "s string, p string, o string, v string, t string")
+    e = spark.createDataFrame([("Q5", "human"), ("Q5", "person"), (None, "nothing")], "qid string, label_zh string")
+    p = spark.createDataFrame([("P31", "is")], "pid string, label_zh string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = K.labelled(t, e, p).select("s", "p", "p_label", "o", "object_label", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    at = [r["at"] for r in got if r["p"] == "P577"]
+    assert len(at) == 400 and max(at.count(x) for x in set(at)) < 200
+    want = [("s1", "P31", "is", "Q5", "human"), ("s1", "P31", "is", "Q5", "person"), ("s2", "P31", "is", "Q9", None), ("s3", "P9", None, None, None)]
+    assert sorted((tuple(r)[:5] for r in got if r["p"] != "P577"), key=str) == sorted(want, key=str)
+    assert sorted(r["object_label"] for r in got if r["p"] == "P577") == sorted(f"v{i}" for i in range(400))
