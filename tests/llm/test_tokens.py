@@ -84,3 +84,11 @@ def test_sentencepiece_equals_the_library(docs):
         assert v.decode(raw) == t.replace("▁", " ")
     decoded = sentencepiece.decode_pieces(sentencepiece.encode_pieces(docs)).collect()
     assert sorted(r.text for r in decoded) == sorted((t or "").replace("▁", " ") for _, t, *_ in texts())
+
+
+def test_a_word_after_a_space_is_kept_once():
+    e = Encoder(TOKENIZER)
+    some = ["one Straße. don't, one Straße", "Straße <|endoftext|>. x", "a  b\nc d\n", "12 ab12 été-là ", " ", "漢字 été"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(some)]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert " Straße" not in e.pieces and {"Straße", "one"} <= set(e.parts)
