@@ -183,3 +183,29 @@ def test_scores_do_not_depend_on_the_split(spark):
     one, many = ({r.doc_id: r.score for r in lm_score.scores(docs.repartition(n, "doc_id")).collect()} for n in (1, 12))
     assert one.keys() == many.keys()
     assert all(abs(one[k] - many[k]) <= 1e-3 * abs(one[k]) for k in one)
+
+
+def test_counts_of_all_occurrences(spark):
+    words = [["the", "cat"], ["the", "dog", "the", "cat"], ["the"]] * 3
+    docs = spark.createDataFrame([(" ".join(w),) for w in words], "text string").repartition(2)
+    m = lm_score.Model(lm_score.slots_for(100))
+    lm_score._count(docs, m)
+    want = np.zeros((2, len(m.n0)))
+    for text in words:
+        for before, word in zip([None, *text], text):
+            after = None if before is None else lm_score.hash64([before.encode()])
+            for slots, bit, _, _ in lm_score.Bits([word.encode()], after, m.slots).steps():
+                for row, b in zip(slots, bit):
+                    want[b, row] += 1
+    assert (m.n0 == want[0]).all() and (m.n1 == want[1]).all()
+
+
+def test_word_before_counts_beyond_the_usual_successor(spark):
+    r = random.Random(5)
+    after = {"la": ["mi", "mi", "mi", "ko", "ko"], "du": ["ne", "ne", "ne", "ra", "ra"]}
+    texts_ = [" ".join(f"{w} {r.choice(after[w])}" for w in r.choices(["la", "du"], k=40)) for _ in range(120)]
+    train = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 10]
+    held = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 10 == 0]
+    rows = [*zip(train, texts_), (held[0], "la ko " * 10), (held[1], "la ra " * 10)]
+    got = {x.doc_id: x.score for x in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 3  # neither is the usual successor, both words are equally frequent
