@@ -35,14 +35,12 @@ from lamina.operators import calibration as P
 from lamina.operators import coverage as V
 from lamina.operators import diversify as D
 from lamina.operators import fusion as U
-from lamina.operators.layers import PASSAGE
+from lamina.operators.layers import HEAD, PASSAGE, referred
 from lamina.session import cut
 
 #: Columns of questions that layers get, and of what they return (``url``, ``hop`` and ``elapsed`` may be missing).
 QUESTION = ["query_id", "query", "search", "namespace"]
 FOUND = ["query_id", "rank", "id", "title", "text", "score"]
-#: Characters of a text that fusion looks at.
-HEAD = 80
 
 
 @dataclass(frozen=True)
@@ -64,8 +62,7 @@ class Layer:
 
     def referred(self) -> DataFrame:
         """``texts`` with a name for each, ``ref``."""
-        ref = F.concat_ws(":", F.lit(self.name), F.col("id").cast("string"), F.hex(F.xxhash64("title", "text")))
-        return self.texts.withColumn("ref", ref)
+        return referred(self.texts, self.name)
 
     def passages(self, questions: DataFrame) -> DataFrame:
         d = self.search(questions)

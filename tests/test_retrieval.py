@@ -8,6 +8,7 @@ from lamina.operators import calibration as P
 from lamina.operators import corpus as C
 from lamina.operators import diversify as D
 from lamina.operators import fusion as U
+from lamina.operators import layers as LY
 from lamina.operators import vectors as V
 from lamina.plans import retrieval as R
 
@@ -216,3 +217,23 @@ def test_chunks_find_what_stands_late_in_a_document(spark):
     best = {r.query_id: (r.id, r.score) for r in hits if r["rank"] == 1}
     assert best == {7: (3, 1.0), 8: (1, 1.0)}
     assert all(len({r.id for r in hits if r.query_id == q}) == 3 for q in (7, 8))  # three documents, not three chunks of one
+
+
+def test_passages_apart_from_their_texts_give_the_same(spark):
+    """Terms and entities stand at the ends of long texts, which the passages with a reference don't hold."""
+    texts = [(f"d{i}", "src", f"{i:03d} opening " + "filler " * 200 + ("alpha" if i % 3 == 0 else "beta gamma" if i % 3 == 1 else "delta")) for i in range(12)]
+    pages = [(f"p{i}", f"page {i}", f"{i:03d} site " + "words " * 200 + ("gamma" if i % 2 else "alpha delta")) for i in range(6)]
+    off = spark.createDataFrame([(q, r, f"d{(q * 5 + r) % 12}", 0.5 + r / 40) for q in range(8) for r in range(1, 9)], "query_id long, rank int, id string, score double")
+    hits = spark.createDataFrame([(q, r, f"p{(q + r) % 6}", f"http://s{r % 3}.example/{(q + r) % 6}", 1.0 - r / 20) for q in range(8) for r in range(1, 6)], "query_id long, rank int, id string, url string, score double")
+    queries = spark.createDataFrame([(q, ["alpha beta gamma", "beta delta gamma", "omega alpha delta"][q % 3], q % 4 == 0, q % 5 == 0) for q in range(8)], "query_id long, query string, forced boolean, routed_web boolean")
+    ents = spark.createDataFrame([(q, ["alpha", "gamma"] if q % 2 else ["delta", "beta", ""]) for q in range(8)], "query_id long, entities array<string>")
+    docs, sites = (LY.referred(spark.createDataFrame(rows, "id string, title string, text string"), n) for rows, n in ((texts, "L2_wiki"), (pages, "L4_web")))
+    head = lambda d, n: d.withColumn("text", F.substring("text", 1, n))
+    whole = LY.retrieve(queries, [LY.passages(off.join(docs.drop("ref"), "id"), "L2_wiki")], LY.passages(hits.join(sites.drop("ref"), "id"), "L4_web"), ents, k=4)
+    apart = LY.retrieve(queries, [LY.passages(off.join(head(docs, LY.HEAD), "id"), "L2_wiki")], LY.passages(hits.join(head(sites, LY.ENCODED), "id"), "L4_web"), ents, k=4, texts=docs, web_texts=sites)
+    some = apart[1].collect()
+    assert max(len(r.text) for r in some) <= LY.ENCODED and {r.ref.split(":")[0] for r in some} == {"L2_wiki", "L4_web"}
+    for a, b, cols in zip(whole, apart, (whole[0].columns, ["query_id", "pos", "layer", "id", "rrf", "calibrated"])):
+        rows = lambda d: sorted(map(repr, d.select(*cols).collect()))
+        assert rows(a) == rows(b) and rows(a)
+    assert len({r.coverage for r in apart[0].collect()}) > 1
