@@ -56,10 +56,20 @@ def layer_label(layer: Column) -> Column:
     return out.otherwise(F.when(layer == "", "未知").otherwise(layer))
 
 
-def evidence_docs(df: DataFrame, doc_chars: int = X.DOC_CHARS) -> DataFrame:
-    """Per passage: sanitised text and the attributes behind the document id."""
-    d = df.where(strip(F.coalesce("text", F.lit(""))) != "")
-    d = sanitize(d, "text", doc_chars, "clean", "risks")
+def evidence_docs(df: DataFrame, doc_chars: int = X.DOC_CHARS, texts: DataFrame | None = None) -> DataFrame:
+    """Per passage: sanitised text and the attributes behind the document id. With
+    ``texts`` (ref, text), passages that have a ``ref`` get that text, which is
+    sanitised once for all of them and travels cut to ``doc_chars``."""
+
+    def cleaned(d):
+        return sanitize(d.where(strip(F.coalesce("text", F.lit(""))) != ""), "text", doc_chars, "clean", "risks")
+
+    if texts is None:
+        d = cleaned(df)
+    else:
+        used = texts.select("ref", "text").join(df.select("ref").distinct(), "ref", "left_semi")
+        once_each = cleaned(used).select("ref", "clean", "risks").distinct()
+        d = cleaned(df.where("ref IS NULL")).unionByName(df.where("ref IS NOT NULL").join(once_each, "ref"))
     d = d.where(strip(F.col("clean")) != "")
     d = sanitize(d, "title", X.TITLE_CHARS, "safe_title", "title_risks")
     d = d.withColumn("risks", F.array_union("risks", "title_risks")).drop("title_risks")
@@ -74,10 +84,10 @@ def evidence_docs(df: DataFrame, doc_chars: int = X.DOC_CHARS) -> DataFrame:
     return d.withColumn("attrs", attrs)
 
 
-def evidence_block(df: DataFrame, total: int = X.EVIDENCE_CHARS, doc_chars: int = X.DOC_CHARS) -> DataFrame:
+def evidence_block(df: DataFrame, total: int = X.EVIDENCE_CHARS, doc_chars: int = X.DOC_CHARS, texts: DataFrame | None = None) -> DataFrame:
     """``df``: passages with ``pos``, a handful per question. The first document
-    is always in; the first one that does not fit ends the block."""
-    d = evidence_docs(df, doc_chars)
+    is always in; the first one that does not fit ends the block. ``texts``: see ``evidence_docs``."""
+    d = evidence_docs(df, doc_chars, texts)
     packed = d.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "attrs", "clean", "id", "layer", "conf"))).alias("docs"))
     zero = F.struct(F.lit(0).alias("total"), F.lit(False).alias("stop"), F.array().cast("array<string>").alias("out"))
 
