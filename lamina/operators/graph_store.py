@@ -20,7 +20,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,8 @@ from lamina.sources.sinks import whole_folders
 
 #: Facts in a row of the adjacency; at least what a hop shows of an entity.
 CHUNK = X.TRIPLES_PER_ENTITY
+#: Facts of a subject that are put in order in one group; more are ranked over many tasks.
+GROUP = 200 * CHUNK
 #: The tables, the columns that name a row, and the one that deals rows to buckets.
 KEYS = {"entities": ["qid"], "mentions": ["mention", "qid"], "adjacency": ["s", "chunk"]}
 #: Columns whose text may hold escapes.
@@ -40,11 +42,35 @@ _ESCAPE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
 _MANIFEST = "name string, bucket int, path string, schema string"
 
 
-def packed(triples: DataFrame) -> DataFrame:
-    """Triples (s, p, o, v, t) as rows of (s, chunk, facts); repeated triples stay repeated."""
-    placed = ranked(triples.select("s", "p", "o", "v", "t"), K.triple_order() + [F.asc_nulls_first("t")], "pos", ["s"])
+def packed(triples: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Triples (s, p, o, v, t) as rows of (s, chunk, facts); repeated triples stay repeated. With ``bucket``, an expression
+    over ``s``, rows have it as ``bucket_`` and lie in ranges of (bucket_, s), to which triples move once.
+
+    The few subjects with more than ``GROUP`` facts are found first and take the way of ``ranked``."""
+    t = triples.select("s", "p", "o", "v", "t")
+    sizes = t.groupBy(F.col("s").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut(sizes.where(F.col("_n") > GROUP).select("_s"))
+    if large.isEmpty():
+        return _grouped(t, bucket)
+    same = F.col("s").eqNullSafe(F.col("_s"))
+    placed = ranked(t.join(large, same, "left_semi"), K.triple_order() + [F.asc_nulls_first("t")], "pos", ["s"])
     rows = placed.withColumn("chunk", F.expr(f"cast((pos - 1) div {CHUNK} as int)"))
-    return rows.groupBy("s", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "o", "v", "t"))).alias("facts"))  # a chunk at most
+    spread = rows.groupBy("s", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "p", "o", "v", "t"))).alias("facts"))  # a chunk at most
+    if bucket is not None:
+        spread = spread.withColumn("bucket_", bucket)
+    return _grouped(t.join(large, same, "left_anti"), bucket).unionByName(spread)
+
+
+def _grouped(t: DataFrame, bucket: Column | None) -> DataFrame:
+    """``packed`` for subjects of at most ``GROUP`` facts."""
+    keys = ["s"]
+    if bucket is not None:
+        keys = ["bucket_", "s"]
+        t = t.withColumn("bucket_", bucket).repartitionByRange(*keys)
+    g = t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "o", "v", "t"))).alias("f"))  # nulls first, as in ``triple_order``
+    g = g.select(*keys, F.transform("f", lambda f, i: F.struct((i + 1).cast("long").alias("pos"), f.p.alias("p"), f.o.alias("o"), f.v.alias("v"), f.t.alias("t"))).alias("f"))
+    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(f) - 1) div {CHUNK} as int)")), lambda c: F.slice("f", c * CHUNK + 1, CHUNK))
+    return g.select(*keys, F.posexplode(chunks).alias("chunk", "facts"))
 
 
 def unpacked(adjacency: DataFrame) -> DataFrame:
@@ -94,21 +120,26 @@ class GraphStore:
     def _bucket(self, name: str):
         return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(self.buckets)).cast("int")
 
+    def _dealt(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` in ranges of its buckets and keys."""
+        return df.withColumn("bucket_", self._bucket(name)).repartitionByRange("bucket_", *KEYS[name])
+
     def _write(self, name: str, df: DataFrame, buckets: list[int]) -> list[tuple]:
         """Files of ``df`` for these buckets; an empty bucket has no folder. A bucket is written by several tasks, one
-        range of its key each, so a key with very many rows is no single task's."""
+        range of its key each, so a key with very many rows is no single task's. Rows that have their ``bucket_`` already
+        lie in such ranges and stay there."""
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-        keys = KEYS[name]
-        dealt = df.withColumn("bucket_", self._bucket(name)).repartitionByRange("bucket_", *keys).sortWithinPartitions("bucket_", *keys)
-        dealt.write.partitionBy("bucket_").parquet(path)
+        dealt = df if "bucket_" in df.columns else self._dealt(name, df)
+        dealt.sortWithinPartitions("bucket_", *KEYS[name]).write.partitionBy("bucket_").parquet(path)
         there = {int(p.rsplit("=", 1)[1]): p for p in whole_folders(self.spark, path, ".") if "bucket_=" in p}
-        return [(name, b, there[b], df.schema.json()) for b in buckets if b in there]
+        schema = df.drop("bucket_").schema.json()
+        return [(name, b, there[b], schema) for b in buckets if b in there]
 
     def write(self, entities: DataFrame, mentions: DataFrame, triples: DataFrame) -> None:
         """A first version, or one that replaces everything. Of rows with the same key one stays: any of the entities'
         equal ids must be the same row already; of mentions the strongest."""
         every = list(range(self.buckets))
-        tables = {"entities": entities.dropDuplicates(["qid"]), "mentions": mentions, "adjacency": packed(triples)}
+        tables = {"entities": self._dealt("entities", entities).dropDuplicates(["bucket_", "qid"]), "mentions": mentions, "adjacency": packed(triples, self._bucket("adjacency"))}
         self._publish([r for n, df in tables.items() for r in self._write(n, df, every)])
 
     def _change(self, name: str, touched: list[int], rows: DataFrame) -> None:
@@ -135,19 +166,23 @@ class GraphStore:
         return touched
 
     def change_triples(self, added: DataFrame, removed: DataFrame | None = None) -> list[int]:
-        """Triples to add, and triples (s, p, o, v, t) to take out, every copy of them."""
+        """Triples to add, and triples (s, p, o, v, t) to take out, every copy of them. Of the buckets they fall into, the
+        rows of other subjects are written again as they are."""
         subjects = added.select("s") if removed is None else added.select("s").unionByName(removed.select("s"))
         touched = self._touched("adjacency", subjects)
         if not touched:
             return []
-        rows = unpacked(self.table("adjacency", buckets=touched))
+        stored, subjects = self.table("adjacency", buckets=touched), subjects.distinct().withColumnRenamed("s", "_s")
+        of_them = F.col("s").eqNullSafe(F.col("_s"))
+        rows = unpacked(stored.join(subjects, of_them, "left_semi"))
         if removed is not None:
             gone = removed.select(*[F.col(c).alias(f"_{c}") for c in rows.columns]).distinct()
             same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in rows.columns]
             for c in same[1:]:
                 same[0] = same[0] & c
             rows = rows.join(gone, same[0], "left_anti")
-        self._change("adjacency", touched, packed(rows.unionByName(added.select(*rows.columns))))
+        changed = packed(cut(rows.unionByName(added.select(*rows.columns))))  # read twice
+        self._change("adjacency", touched, stored.join(subjects, of_them, "left_anti").unionByName(changed))
         return touched
 
     # ---- repair

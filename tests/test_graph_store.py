@@ -90,3 +90,27 @@ def test_empty_tables(spark, tmp_path):
     s.write(spark.createDataFrame([entity(1)], ENT), spark.createDataFrame([], MEN), spark.createDataFrame([("Q1", "P1", "Q2", None, "entity")], TRI))
     s.upsert("entities", spark.createDataFrame([], ENT), spark.createDataFrame([("Q1",)], "qid string"))
     assert s.manifest() and all(n == "adjacency" for n, *_ in s.manifest())
+
+
+def test_triples_are_packed_in_one_move_and_large_subjects_apart(spark, monkeypatch, tmp_path):
+    """A subject beyond ``GROUP`` gets the same rows by ranking; null subjects, repeated triples and nulls keep their order."""
+    rows = [(s, f"P{k % 5}", f"Q{k}" if k % 3 else None, None if k % 3 else f"v{k % 7}", "entity" if k % 2 else "string") for s, n in (("a", 130), ("b", 51), ("c", 1), (None, 120)) for k in range(n)]
+    triples = spark.createDataFrame(rows + rows[:20], TRI)
+    whole = lambda d: sorted(((r.s or "", r.chunk, [tuple(f) for f in r.facts]) for r in d.collect()))
+    bucket = F.pmod(F.xxhash64("s"), F.lit(4)).cast("int")
+    small = GS.packed(triples, bucket)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
+    monkeypatch.setattr(GS, "GROUP", 100)
+    large = GS.packed(triples, bucket)
+    assert whole(small) == whole(large) and len(whole(small)) == 3 + 2 + 1 + 3
+    order = lambda x: tuple((v is not None, v or "") for v in (x[1], x[2], x[3], x[4]))
+    for s in ("a", "b", "c", ""):
+        facts = [f for key, _, chunk in whole(large) for f in chunk if key == s]
+        assert [f[0] for f in facts] == list(range(1, len(facts) + 1)) and facts == sorted(facts, key=order)
+    st = GraphStore(spark, str(tmp_path), buckets=4)
+    st.write(spark.createDataFrame([entity(1)], ENT), spark.createDataFrame([("m", "Q1", 1.0, "l")], MEN), triples)
+    st.change_triples(spark.createDataFrame([("b", "P0", "new", None, "entity")], TRI), triples.where("s IS NULL"))
+    key = lambda t: tuple(x or "" for x in t)
+    want = [r for r in rows + rows[:20] if r[0] is not None] + [("b", "P0", "new", None, "entity")]
+    assert sorted(map(tuple, GS.unpacked(st.table("adjacency")).collect()), key=key) == sorted(want, key=key)
