@@ -88,3 +88,19 @@ def test_buckets_are_joined_once(spark):
     for crowd in (4000, 2):
         plan = near_dup._across(members, sig, 1000, crowd)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join ") == 2  # the sets of the rows, and the rows with their sets
+
+
+def sharing_one_band(docs):
+    """Signatures as if all rows shared one band and no other."""
+    return signatures_of(docs).withColumn("bands", F.array(F.lit(1).cast("long"), F.col("row") + 2))
+
+
+signatures_of = near_dup.signatures
+ONE_BAND = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(8)] + [(100 + k, " ".join([f"w{k}x{i}" for i in range(39)] + ["end"])) for k in range(1, 8)]
+
+
+def test_rows_of_a_large_bucket_that_share_no_other_band_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "signatures", sharing_one_band)
+    docs = spark.createDataFrame(ONE_BAND, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, block=2, crowd=3).collect()}
+    assert got == {d: d % 100 for d, _ in ONE_BAND}
