@@ -1,9 +1,13 @@
+from functools import partial
+
 import duckdb
 import pytest
+from test_near_dup import ONE_BAND, sharing_one_band
 
 import __spark_entry__ as E
 import corpus_pipeline
 from check import rows_of
+from lamina.llm import near_dup
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +35,13 @@ def test_an_empty_table_passes_through(spark, none):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
+def test_copies_in_a_large_bucket_go(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "signatures", sharing_one_band)
+    monkeypatch.setattr(near_dup, "deduplicated", partial(near_dup.deduplicated, block=2, crowd=3))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in ONE_BAND], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()} == set(range(8))
+
+
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op9_warc", "op10_line_dedup"])
 def test_check_sql(spark, name):
     if name not in E.oracle_sql():
