@@ -159,7 +159,7 @@ class Engine:
         counts = passages.groupBy("query_id").agg(*[F.count_if(F.col("layer") == x.name).alias(f"n_{x.name}") for x in self.layers])
         state = flags.join(P.noisy_or(passages), "query_id", "left").join(counts, "query_id", "left").fillna(0, [f"n_{x.name}" for x in self.layers]).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         state = state.withColumn("low_evidence", F.col("confidence") < X.ABSTAIN_CONFIDENCE)
-        blocks = EV.evidence_block(evidence)
+        blocks = EV.evidence_block(best, texts=self.texts()) if self.texts() is not None else EV.evidence_block(evidence)  # a text is cleaned once, not per question
         messages = asked.select("query_id", "query", "forced").join(state.select("query_id", "low_evidence"), "query_id").join(blocks, "query_id", "left").select(
             "query_id", EV.user_message(F.col("query"), F.coalesce("block", F.lit("")), F.col("low_evidence"), F.col("forced")).alias("message"))
         made = cut((self.answer or (lambda m, e: quoting(e)))(messages, evidence).select("query_id", F.col("answer").alias("made")))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina import fixed as X
+from lamina.functions import evidence as EV
 from lamina.operators.engine import Engine, Layer
 
 NOW = 1_700_000_000
@@ -109,3 +110,20 @@ def test_long_texts_are_met_by_reference(spark):
     assert got[0] == got[1] and len(got[0]) == 3
     assert max(len(r.text) for r in apart.passages(asked).collect()) == 80
     assert {r.text for r in runs[1].parts["evidence"].collect()} == {long + "1", long + "2"}
+
+
+def test_a_text_that_many_questions_find_is_cleaned_once(spark, monkeypatch):
+    cleaned, sanitize = [], EV.sanitize
+
+    def counting(df, text, *args, **kw):
+        if text == "text":
+            cleaned.append(df.count())
+        return sanitize(df, text, *args, **kw)
+
+    monkeypatch.setattr(EV, "sanitize", counting)
+    texts = spark.createDataFrame([("a", "title", "capital of peru " + "lima " * 60)], "id string, title string, text string")
+    found = lambda q: q.select("query_id", F.lit(1).alias("rank"), F.lit("a").alias("id"), F.lit(0.9).alias("score"))
+    rows = [(k, f"capital of peru {k}", None) for k in range(3)]
+    got = Engine([Layer("L2_wiki", 1, found, texts=texts)], cache(spark, []), NOW, 2023, norm).run(questions(spark, rows)).collect()
+    assert sum(cleaned) == 1
+    assert len(got) == 3 and all("lima " * 50 in r.message for r in got)

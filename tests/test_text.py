@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lamina import fixed as X
 from lamina.functions import answers as AN
 from lamina.functions import rewrite as RW
+from lamina.functions import text as T
 from lamina.operators import corpus as C
 from lamina.streaming.hold_back import feed
 
@@ -69,3 +70,12 @@ def test_hold_back_shows_the_same_text_for_every_chunking(parts, size):
 def test_fixed_patterns_compile():
     for p in (X.CONTROL_CHARS, X.FAKE_DELIM, X.CITATION, X.QA_PUNCT, X.JUDGE_PUNCT, X.CLAUSE_SPLIT, *(p for _, p in X.INJECTIONS)):
         re.compile(p)
+
+
+def test_strip_takes_off_what_the_pattern_would(spark):
+    rows = [(f"{c}{c}a {c}b{c}\n{c}", c) for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)])] + [("", ""), (None, None)]
+    d = spark.createDataFrame(rows, "t string, u string")
+    for c in (F.col("t"), F.col("u")):
+        both, end = F.regexp_replace(c, T.U + r"^\s+|\s+$", ""), F.regexp_replace(c, T.U + r"\s+$", "")
+        assert d.where(~(T.strip(c).eqNullSafe(both) & T.rstrip(c).eqNullSafe(end))).count() == 0
+    assert "regexp" not in d.select(T.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
